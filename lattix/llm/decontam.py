@@ -76,10 +76,12 @@ def _fingerprints(blocks: DataFrame, lengths: list[int]) -> DataFrame:
     b = b.withColumn("m2", F.zip_with("g", _shifted("g", 1), low))
     b = b.withColumn("m4", F.zip_with("m2", _shifted("m2", 2), low))
     least = F.slice(F.zip_with("m4", _shifted("g", 4), low), F.lit(1), kept)
-    short = [
-        F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: _pack(F.xxhash64(F.lit(n), *[F.element_at("wh", i + j) for j in range(n)]), i - 1))).otherwise(F.array().cast(LONGS))
-        for n in lengths
-    ]
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: _pack(F.xxhash64(F.lit(n), *[F.element_at("wh", i + j) for j in range(n)]), i - 1))
+        return F.when(F.size("w") >= n, every).otherwise(F.array().cast(LONGS))
+
+    short = [runs(n) for n in lengths]
     return b.withColumn("fp", F.concat(F.array_distinct(least), *short))
 
 
@@ -121,7 +123,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     first = F.lit(K - WINDOW)
     around = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.lit(1), p + first), p))))
-    at = F.concat(F.transform(around, lambda i: F.struct(i.alias("i"), F.lit(WINDOW).alias("k"))), *[F.transform("places", lambda i, k=k: F.struct(i.alias("i"), F.lit(k).alias("k"))) for k in sizes])
+
+    def starting(places: Column | str, k: int) -> Column:
+        return F.transform(places, lambda i: F.struct(i.alias("i"), F.lit(k).alias("k")))
+
+    at = F.concat(starting(around, WINDOW), *[starting("places", k) for k in sizes])
     some = side(found.where(F.size("places") > 0).select(F.col("key").alias("key2"), "places"))
     spots = base.join(some, F.col("key").eqNullSafe(F.col("key2"))).select("key", "w", F.when(F.col("w")[0] == "", 1).otherwise(0).alias("lead"), at.alias("at"))
     spots = spots.select("key", "lead", F.explode_outer(F.transform(F.filter("at", lambda x: x["i"] + x["k"] - 1 <= F.size("w")), lambda x: F.struct(x["i"].alias("i"), x["k"].alias("k"), _window_at("w", x["i"], x["k"]).alias("win")))).alias("x")).select("key", "lead", "x.*")
