@@ -52,7 +52,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pieces.decode(pieces.encode(docs.select("doc_id", "text")))
+    out = pieces.encode(docs.select("doc_id", "text"), decoded_as="decoded")
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").alias("text"))
 
 

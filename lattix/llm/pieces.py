@@ -40,7 +40,7 @@ CHUNK = 1 << 15
 NEG = -(1 << 60)
 SCALE = 1 << 20
 UNIT = re.compile(r" +[^ ]*")
-REMEMBER = 400_000
+REMEMBER = 250_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -295,22 +295,28 @@ def _list_array(rows: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
 
 
-def encode(docs: DataFrame, text: str = "text", ids_as: str = "ids", model: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """docs with the piece ids of every whole text added; other columns pass through."""
+def encode(docs: DataFrame, text: str = "text", ids_as: str = "ids", model: str | None = None, chunk: int = CHUNK, decoded_as: str | None = None) -> DataFrame:
+    """docs with the piece ids of every whole text (and, if asked for, the text decoded from them) added; other columns
+    pass through."""
     path = model or default_model()
-    cols = [c for c in docs.columns if c != ids_as]
+    cols = [c for c in docs.columns if c not in (ids_as, decoded_as)]
     at = cols.index(text)
     docs = docs.select(*cols)
+    added = [ids_as, decoded_as] if decoded_as else [ids_as]
     giant = F.coalesce(F.length(text) > 2 * chunk, F.lit(False))
-    schema = StructType([*docs.schema.fields, StructField(ids_as, ArrayType(IntegerType()))])
+    kinds = [StructField(ids_as, ArrayType(IntegerType())), StructField(decoded_as or "", StringType())]
+    schema = StructType([*docs.schema.fields, *kinds[: len(added)]])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(path)
         for b in batches:
-            for lo in range(0, len(b), 512):
-                part = b.slice(lo, 512)
-                ids = _list_array(p.encode_many([t or "" for t in part.column(at).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*cols, ids_as])
+            for lo in range(0, len(b), 1024):
+                part = b.slice(lo, 1024)
+                ids = p.encode_many([t or "" for t in part.column(at).to_pylist()])
+                more = [_list_array(ids)]
+                if decoded_as:
+                    more.append(pa.array([p.decode(i.tolist()) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*cols, *added])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = load(path).longest
@@ -349,7 +355,8 @@ def encode(docs: DataFrame, text: str = "text", ids_as: str = "ids", model: str
     best = mats.groupBy("key").applyInPandas(states, "key2 bigint, k2 int, enter int, leave int")
     traced = dealt.join(best, (F.col("key") == F.col("key2")) & (F.col("k") == F.col("k2"))).select("key", "k", "local", "context", "enter", "leave").mapInArrow(trace, "key bigint, k int, ids array<int>")
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias(ids_as))
-    return small.unionByName(big.join(whole, F.col("__key") == F.col("key")).select(*cols, ids_as))
+    large = big.join(whole, F.col("__key") == F.col("key")).select(*cols, ids_as)
+    return small.unionByName(decode(large, ids_as, decoded_as, path) if decoded_as else large)
 
 
 def decode(df: DataFrame, ids: str = "ids", text_as: str = "decoded", model: str | None = None) -> DataFrame:
@@ -373,5 +380,5 @@ def decode(df: DataFrame, ids: str = "ids", text_as: str = "decoded", model: str
 def query(spark, sf_dir: str) -> DataFrame:
     from lattix.session import read_table
 
-    out = decode(encode(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))))
+    out = encode(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text")), decoded_as="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"), "ids")
