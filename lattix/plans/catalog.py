@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lattix.plans import models, spatial, tables
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in (tables, spatial, models) for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in (tables, spatial, models) for k, v in m.SQL.items()}
