@@ -43,10 +43,10 @@ def local_moran(obs: DataFrame, key: str, x: str, w: DataFrame, y: str | None =
     names = [x] if y == x else [x, y]
     d, e = usable(obs, key, w, *names)
     d = standardized(d, *names)
-    out = lagged(d, e, (F.median(f"n_{y}") if median else F.avg(f"n_{y}")).alias("lag"))
-    z, l = F.col(x), F.col("lag")
+    out = lagged(d, e, (F.median(f"n_{y}") if median else F.avg(f"n_{y}")).alias("__lag"))
+    z, l = F.col(x), F.col("__lag")
     quadrant = F.when((z < 0) & (l < 0), LL).when((z < 0) & (l > 0), LH).when((z > 0) & (l < 0), HL).otherwise(HH)
-    out = out.select(F.col("id").alias(key), z.alias("z"), l, (z * l).alias("moran_i"), quadrant.alias("quadrant"))
+    out = out.select(F.col("id").alias(key), z.alias("z"), l.alias("lag"), (z * l).alias("moran_i"), quadrant.alias("quadrant"))
     rest = obs.select(key, F.when(F.col(x).isNull() | F.col(y).isNull(), UNDEFINED).otherwise(ISOLATE).alias("__q"))
     return rest.join(out, key, "left").withColumn("quadrant", F.coalesce("quadrant", "__q")).drop("__q")
 
@@ -56,7 +56,7 @@ def global_moran(obs: DataFrame, key: str, x: str, w: DataFrame, y: str | None =
     y = y or x
     d, e = usable(obs, key, w, *([x] if y == x else [x, y]))
     d = standardized(d, *([x] if y == x else [x, y]))
-    return lagged(d, e, F.avg(f"n_{y}").alias("lag")).agg(F.count("*").alias("n"), F.regr_slope("lag", x).alias("moran_i"))
+    return lagged(d, e, F.avg(f"n_{y}").alias("__lag")).agg(F.count("*").alias("n"), F.regr_slope("__lag", x).alias("moran_i"))
 
 
 def differential_moran(obs: DataFrame, key: str, now: str, before: str, w: DataFrame) -> DataFrame:
@@ -77,17 +77,17 @@ def getis_ord(obs: DataFrame, key: str, x: str, w: DataFrame, star: bool = False
     d, e = usable(obs, key, w, x)
     s = scalars(d, n=F.count("*"), s=F.sum(x), q=F.sum(F.col(x) * F.col(x)))
     n, total, sq = s["n"], s["s"] or 0.0, s["q"] or 0.0
-    out = lagged(d, e, F.sum(f"n_{x}").alias("s"), F.count("*").alias("k"))
-    v, k = F.col(x), F.col("k")
+    out = lagged(d, e, F.sum(f"n_{x}").alias("__s"), F.count("*").alias("__k"))
+    v, k = F.col(x), F.col("__k")
     if star:
         mean, m = total / n if n else 0.0, k + 1
         var = sq / n - mean * mean if n else 0.0
-        lag = (F.col("s") + v) / m
+        lag = (F.col("__s") + v) / m
         g = ratio(lag, F.lit(total))
         spread = var * (n / m - 1) / (n - 1)
         z = ratio(lag - mean, F.sqrt(spread))
     else:
-        lag = F.col("s") / k
+        lag = F.col("__s") / k
         g = ratio(lag, F.lit(total) - v)
         mean = (F.lit(total) - v) / (n - 1)
         var = (F.lit(sq) - v * v) / (n - 1) - mean * mean
@@ -108,8 +108,8 @@ def join_count(obs: DataFrame, key: str, xs: list[str], w: DataFrame, co_locatio
         d = d.select("id", both.cast("double").alias("here")).withColumn("there", F.col("here"))
     else:
         d = d.select("id", (F.col(xs[0]) == 1).cast("double").alias("here"), (F.col(xs[1]) == 1).cast("double").alias("there"))
-    out = lagged(d, e, F.sum("n_there").alias("s"))
-    return out.select(F.col("id").alias(key), (F.col("here") * F.col("s")).cast("long").alias("jc"))
+    out = lagged(d, e, F.sum("n_there").alias("__s"))
+    return out.select(F.col("id").alias(key), (F.col("here") * F.col("__s")).cast("long").alias("jc"))
 
 
 def quantile_lisa(obs: DataFrame, key: str, x: str, w: DataFrame, k: int, q: int) -> DataFrame:
@@ -170,7 +170,7 @@ def permute(obs: DataFrame, key: str, x: str, w: DataFrame, permutations: int =
     n = scalars(d, n=F.count("*"))["n"]
     if n > 20_000_000:
         raise ValueError("too many observations to send to every task")
-    rows = lagged(d, e, F.avg(f"n_{x}").alias("lag"), F.avg(F.col(f"n_{x}") * F.col(f"n_{x}")).alias("lag2"), F.count("*").alias("k"))
+    rows = lagged(d, e, F.avg(f"n_{x}").alias("__lag"), F.avg(F.col(f"n_{x}") * F.col(f"n_{x}")).alias("__lag2"), F.count("*").alias("__k"))
     z = np.array([r[0] for r in d.orderBy("id").select(x).collect()])
     spread = d.sparkSession.sparkContext.broadcast(z)
     kind = d.schema["id"].dataType.simpleString()
@@ -193,16 +193,16 @@ def permute(obs: DataFrame, key: str, x: str, w: DataFrame, permutations: int =
                 v = everyone[draw + (draw >= own)]
                 if statistic == "moran":
                     s, sims = zi * li, zi * v.mean(axis=1)
-                    count = (sims >= s).sum()
+                    count = (sims >= s - 1e-12).sum()
                 else:
                     s, sims = zi * zi - 2 * zi * li + qi, zi * zi - 2 * zi * v.mean(axis=1) + (v * v).mean(axis=1)
-                    count = (sims <= s).sum() if s <= sims.mean() else (sims >= s).sum()
+                    count = (sims <= s + 1e-12).sum() if s <= sims.mean() + 1e-12 else (sims >= s - 1e-12).sum()
                 count = min(count, permutations - count) if statistic == "moran" else count
                 stats.append(s)
                 ps.append((count + 1) / (permutations + 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(stats), pa.array(ps)], names=["id", "statistic", "pseudo_p"])
 
-    out = rows.select("id", F.col(x), "lag", "lag2", "k").mapInArrow(run, f"id {kind}, statistic double, pseudo_p double")
+    out = rows.select("id", F.col(x), "__lag", "__lag2", "__k").mapInArrow(run, f"id {kind}, statistic double, pseudo_p double")
     bins = sum([(F.col("pseudo_p") <= b).cast("int") for b in SIGNIFICANCE], F.lit(0))
     return out.select(F.col("id").alias(key), "statistic", "pseudo_p", bins.alias("significance"))
 

@@ -34,9 +34,11 @@ def _table(df: DataFrame, key: str, ids: list, labels) -> DataFrame:
 
 def relabel(df: DataFrame, key: str, cluster: str) -> DataFrame:
     """Clusters numbered 1, 2, ... by falling size, then least key."""
-    g = df.groupBy(cluster).agg(F.count("*").alias("n"), F.min(key).alias("low")).orderBy(F.desc("n"), "low").collect()
-    place = F.create_map(*[F.lit(v) for i, r in enumerate(g) for v in (r[0], i + 1)])
-    return df.withColumn(cluster, place[F.col(cluster)])
+    from lattix.functions.scalars import with_rank
+
+    g = df.groupBy(F.col(cluster).alias("__c")).agg(F.count("*").alias("n"), F.min(key).alias("low"))
+    place = with_rank(g, [F.desc("n"), F.asc("low")], "__r").select("__c", F.col("__r").cast("int").alias("__r"))
+    return df.join(place, F.col(cluster) == F.col("__c")).withColumn(cluster, F.col("__r")).drop("__c", "__r")
 
 
 def kmeans(df: DataFrame, key: str, xs: list[str], k: int, seed: int = 1, iterations: int = 300, standardize: bool = True) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lattix.functions.scalars import literal, ratio, scalars
 
-E, P = F.col("event"), F.col("base")
+
+def _cols():
+    return F.col("event"), F.col("base")
 
 
 def _ep(obs: DataFrame, key: str, event: str, base: str) -> DataFrame:
@@ -15,6 +17,7 @@ def _ep(obs: DataFrame, key: str, event: str, base: str) -> DataFrame:
 
 
 def _rate():
+    E, P = _cols()
     return F.when(P > 0, E / P)
 
 
@@ -23,6 +26,7 @@ def raw_rate(obs: DataFrame, key: str, event: str, base: str) -> DataFrame:
 
 
 def excess_risk(obs: DataFrame, key: str, event: str, base: str) -> DataFrame:
+    E, P = _cols()
     d = _ep(obs, key, event, base)
     s = scalars(d, e=F.sum("event"), p=F.sum("base"))
     expected = P * literal(s["e"] / s["p"] if s["p"] else None)
@@ -31,6 +35,7 @@ def excess_risk(obs: DataFrame, key: str, event: str, base: str) -> DataFrame:
 
 def empirical_bayes(obs: DataFrame, key: str, event: str, base: str) -> DataFrame:
     """Shrinks raw rates to the global mean by the method of moments; all rows count to n."""
+    E, P = _cols()
     d = _ep(obs, key, event, base)
     s = scalars(d, e=F.sum("event"), p=F.sum("base"), n=F.count("*"))
     t1 = s["e"] / s["p"]
@@ -41,6 +46,7 @@ def empirical_bayes(obs: DataFrame, key: str, event: str, base: str) -> DataFram
 
 
 def eb_standardized(obs: DataFrame, key: str, event: str, base: str) -> DataFrame:
+    E, P = _cols()
     d = _ep(obs, key, event, base)
     s = scalars(d, e=F.sum("event"), p=F.sum("base"), n=F.count(F.when(P > 0, 1)))
     b = s["e"] / s["p"]
@@ -58,6 +64,7 @@ def _around(d: DataFrame, key: str, w: DataFrame) -> DataFrame:
 
 def spatial_rate(obs: DataFrame, key: str, event: str, base: str, w: DataFrame) -> DataFrame:
     """(E + neighbours' E) / (P + neighbours' P); undefined without neighbours."""
+    E, P = _cols()
     d = _ep(obs, key, event, base)
     g = _around(d, key, w).groupBy(F.col("src").alias(key)).agg(F.sum("event").alias("e"), F.sum("base").alias("p"))
     return d.select(key).join(g, key, "left").select(key, F.when(F.col("p") > 0, F.col("e") / F.col("p")).alias("rate"))
@@ -65,6 +72,7 @@ def spatial_rate(obs: DataFrame, key: str, event: str, base: str, w: DataFrame)
 
 def spatial_empirical_bayes(obs: DataFrame, key: str, event: str, base: str, w: DataFrame) -> DataFrame:
     """empirical_bayes() with its moments taken over each observation and its neighbours."""
+    E, P = _cols()
     d = _ep(obs, key, event, base)
     around = _around(d, key, w)
     m = around.groupBy("src").agg(F.sum("event").alias("e"), F.sum("base").alias("p"), F.count("*").alias("n"), F.count("event").alias("ne"), F.count("base").alias("np"))

@@ -196,12 +196,12 @@ def ml_model(df: DataFrame, key: str, y: str, xs: list[str], w: DataFrame, kind:
         info[1 : k + 1, 1 : k + 1] = x.T @ x / s2
         info[0, -1] = info[-1, 0] = t1 / s2
         info[-1, -1] = n / (2 * s2 * s2)
-        se = np.sqrt(np.diag(np.linalg.inv(info)))
+        se = np.sqrt(np.abs(np.diag(np.linalg.pinv(info))))
         se_r, se_b = se[0], se[1 : k + 1]
     else:
         xs_ = x - r * wx
         se_b = np.sqrt(np.diag(np.linalg.inv(xs_.T @ xs_ / s2)))
-        se_r = math.sqrt(np.linalg.inv(np.array([[t2, t1 / s2], [t1 / s2, n / (2 * s2 * s2)]]))[0, 0])
+        se_r = math.sqrt(abs(np.linalg.pinv(np.array([[t2, t1 / s2], [t1 / s2, n / (2 * s2 * s2)]]))[0, 0]))
     best, base = lik(r), lik(0.0)
     params = k + (kind == "lag")
     return {

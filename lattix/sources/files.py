@@ -19,8 +19,11 @@ def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("multiLine", "true").json(path)
-    f = raw.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("geom_type"), F.to_json("f.geometry.coordinates").alias("__c"))
+    found = spark.read.option("multiLine", "true").json(path).schema["features"].dataType.elementType
+    own = found["properties"].dataType.simpleString() if "properties" in found.fieldNames() else "struct<>"
+    schema = f"features array<struct<properties:{own},geometry:struct<type:string,coordinates:string>>>"
+    raw = spark.read.option("multiLine", "true").schema(schema).json(path)
+    f = raw.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("__c"))
     ring = "array<array<array<double>>>"
     pt = F.from_json("__c", "array<double>")
     rings = F.transform(F.from_json("__c", ring), lambda r: F.transform(r, lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))))
