@@ -259,18 +259,18 @@ def score_texts(docs: DataFrame, is_training, doc_id: str = "doc_id", text: str
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row; is_training is a Column over docs."""
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"), F.coalesce(is_training, F.lit(False)).alias("training"))
     counts = cut(token_counts(rows.where("training").select("text")))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == END_WORD.decode(), F.col("c"))), F.lit(0))).first()
     top = [(r[0].encode(), r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(hot).collect()]
     known = vocabulary([w for w, _ in top[:VOCAB]])
     count_of = dict(top)
-    vocab_tokens = sum(count_of[w] for w in known) + count_of.get(END_WORD, 0)
+    vocab_tokens = sum(count_of[w] for w in known) + ends
     rest = math.log10(total - vocab_tokens + max(0, distinct - len(known) - 1) + 1)
     base = math.log10(total + distinct + 1)
     drawn = rows.where("training").where(F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 20)) < int(train_share * (1 << 20)))
     net = train(drawn.select("text"), known, int(total * train_share))
     log_of = {w: (known.get(w, OTHER), math.log10(c + 1)) for w, c in top if w != END_WORD}
-    end_log = math.log10(count_of.get(END_WORD, 0) + 1)
-    end_known = int(END_WORD in count_of)
+    end_log = math.log10(ends + 1)
+    end_known = int(ends > 0)
     complete = distinct <= hot
     kind = docs.schema[doc_id].dataType.simpleString()
 
