@@ -68,6 +68,17 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token string, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def least_common(counts: DataFrame, most: int) -> int:
+    """The least count such that at most `most` tokens have it or more.  Reads one row a distinct count, of which
+    there are at most about the root of twice the corpus' length."""
+    held, least = 0, None
+    for c, n in sorted(((r[0], r[1]) for r in counts.groupBy("c").count().collect()), reverse=True):
+        if held + n > most:
+            break
+        held, least = held + n, c
+    return least if least is not None else 1 << 62
+
+
 class Net:
     """Weights as a list of arrays: input table, recurrent matrix, biases, class and token output layers."""
 
@@ -260,7 +271,7 @@ def score_texts(docs: DataFrame, is_training, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"), F.coalesce(is_training, F.lit(False)).alias("training"))
     counts = cut(token_counts(rows.where("training").select("text")))
     total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == END_WORD.decode(), F.col("c"))), F.lit(0))).first()
-    top = [(r[0].encode(), r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(hot).collect()]
+    top = sorted(((r[0].encode(), r[1]) for r in counts.where(F.col("c") >= least_common(counts, hot)).collect()), key=lambda x: (-x[1], x[0]))
     known = vocabulary([w for w, _ in top[:VOCAB]])
     count_of = dict(top)
     vocab_tokens = sum(count_of[w] for w in known) + ends
