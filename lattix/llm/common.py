@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattix.session import ensure_checkpoint_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,3 +23,24 @@ def fold(id_col: str, n: int) -> Column:
 
 def row_count(df: DataFrame) -> int:
     return df.agg(F.count("*")).first()[0]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read again: cuts lineage, and takes less disk than a checkpoint."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    df.write.parquet(path := f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def join_dealt(rows: DataFrame, side: DataFrame, keys: list[str], how: str, many: str, total: int, parts: int = 1000) -> DataFrame:
+    """Inner or left semi join of rows with side, no task of which gets a hot key's rows.
+
+    side has one row a key, and in column `many` (not returned) how often rows, `total` in all, have it.
+    A key with over a parts-th of all rows is hot; fewer than `parts` keys can be, so their side is broadcast with that
+    bound and their rows stay where they are.  All other keys are joined by a shuffle.
+    """
+    hot = F.col(many) * parts > F.lit(total)
+    few = F.broadcast(side.where(hot).drop(many))
+    rest = rows.join(F.broadcast(side.where(hot).select(*keys)), keys, "left_anti").join(side.where(~hot).drop(many), keys, how)
+    return rows.join(few, keys, how).unionByName(rest)

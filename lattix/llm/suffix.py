@@ -12,7 +12,7 @@ in another document.
 
 Scale: prefixes, contexts and windows are only ever counted by key (map-side combined, hot keys are one
 row each), never gathered; a text is hashed a second time only if it has a context of kind (b).
-Joins carry no bound below the keys, so AQE may split hot ones.
+Retained suffixes are joined with their prefixes and contexts by common.join_dealt: rows of a hot key are not shuffled.
 
 Defined results: words are separated by ASCII white space, A-Z folded; documents of fewer than `least` words and
 null texts repeat nothing; repeats within one document (or within rows of equal id) do not count; null ids take no part.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.session import cut
+from lattix.llm.common import join_dealt, row_count, stored
 
 LEAST, GRAM, SPAN = 50, 8, 32
 PREFIX = LEAST - SPAN + 1
@@ -96,10 +96,10 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 flat = [pa.array(np.concatenate(c).astype(np.int64)) for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), *flat], names=["doc", "p", "first", "last", "hp", "hc", "n"])
 
-    kept = cut(rows.mapInArrow(retain, f"doc {kind}, p bigint, first bigint, last bigint, hp bigint, hc bigint, n bigint"))
-    shared = kept.groupBy("hp").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("hp")
-    kept = cut(kept.join(shared, "hp", "left_semi"))
-    classes = cut(kept.groupBy("hp", "hc").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "p", "first", "last")).alias("rep")))
+    kept = stored(rows.mapInArrow(retain, f"doc {kind}, p bigint, first bigint, last bigint, hp bigint, hc bigint, n bigint"))
+    shared = stored(kept.groupBy("hp").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("many")).where("a <> b").select("hp", "many"))
+    kept = stored(join_dealt(kept, shared, ["hp"], "left_semi", "many", row_count(kept)))
+    classes = stored(kept.groupBy("hp", "hc").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "p", "first", "last")).alias("rep"), F.count("*").alias("many")))
     # (b): contexts of a prefix that has several; each is extended once, by its representative
     several = classes.groupBy("hp").agg(F.min("hc").alias("a"), F.max("hc").alias("b")).where("a <> b").select("hp")
     odd = classes.join(several, "hp", "left_semi").select("hp", "hc", "lo", "hi", "rep.*")
@@ -119,11 +119,12 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 take = pa.array(np.repeat(np.arange(len(p)), many))
                 yield pa.RecordBatch.from_arrays([*(ask.column(k).take(take) for k in ("hp", "hc", "lo", "hi")), pa.array(start - np.repeat(p, many)), pa.array(w)], names=["hp", "hc", "lo", "hi", "off", "w"])
 
-    windows = cut(rows.join(wanted, "doc").select("text", "ask").mapInArrow(widen, f"hp bigint, hc bigint, lo {kind}, hi {kind}, off bigint, w bigint"))
+    windows = stored(rows.join(wanted, "doc").select("text", "ask").mapInArrow(widen, f"hp bigint, hc bigint, lo {kind}, hi {kind}, off bigint, w bigint"))
     again = windows.groupBy("w").agg(F.min("lo").alias("wlo"), F.max("hi").alias("whi")).where("wlo <> whi")
     partly = windows.where("lo = hi").join(again, "w").groupBy("hp", "hc").agg(F.collect_set("off").alias("offs"), F.min("wlo").alias("least"))
-    whole = classes.where("lo <> hi").select("hp", "hc", F.col("lo").alias("least"), F.lit(None).cast("array<bigint>").alias("offs"))
-    marks = kept.join(whole.unionByName(partly), ["hp", "hc"])
+    partly = partly.join(classes.select("hp", "hc", "many"), ["hp", "hc"])
+    whole = classes.where("lo <> hi").select("hp", "hc", F.col("lo").alias("least"), F.lit(None).cast("array<bigint>").alias("offs"), "many")
+    marks = join_dealt(kept, stored(whole.unionByName(partly)), ["hp", "hc"], "inner", "many", row_count(kept))
     span = F.when(F.col("offs").isNull(), F.array(F.struct(F.col("first").alias("start"), (F.col("last") + LEAST).alias("end")))).otherwise(
         F.transform("offs", lambda o: F.struct((F.col("p") + o).alias("start"), (F.col("p") + o + LEAST).alias("end")))
     )
