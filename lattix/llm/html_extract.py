@@ -214,7 +214,8 @@ def templates(pages: DataFrame, support: int, share: float, least: int) -> DataF
     rows = parsed.select("host", "page", F.explode_outer(F.arrays_zip("token", "times")).alias("x")).select("host", "page", "x.*").where("token is not null").distinct()
     vectors = rows.groupBy("host", "token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"))
     total = pages.select("host", F.xxhash64("html").alias("page")).distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= support)
-    frequent = vectors.join(total, "host").where(F.col("n") >= share * F.col("pages"))
+    # a host counts from `support` pages on, so rarer tokens are in no template: they go before the join, not a host's whole vocabulary by host
+    frequent = vectors.where(F.col("n") >= share * support).join(total, "host").where(F.col("n") >= share * F.col("pages"))
     return frequent.groupBy("host", "n", "vector").agg(F.collect_list("token").alias("class")).where(F.size("class") >= least).groupBy("host").agg(F.flatten(F.collect_list("class")).alias("tokens"))
 
 
