@@ -225,3 +225,55 @@ def false_discovery(p: DataFrame, key: str, alpha: float, column: str = "pseudo_
 def getis_p(z: float) -> float:
     """One-sided normal p of a G score."""
     return 1 - normal_cdf(abs(z))
+
+
+def eb_moran(obs: DataFrame, key: str, event: str, base: str, w: DataFrame) -> DataFrame:
+    """local_moran() of empirical-Bayes standardized rates."""
+    from lattix.operators.rates import eb_standardized
+
+    return local_moran(eb_standardized(obs, key, event, base), key, "rate", w)
+
+
+def cores(p: DataFrame, key: str, alpha: float, column: str = "pseudo_p") -> DataFrame:
+    """Keys of significant observations."""
+    return p.where(F.col(column) <= alpha).select(key)
+
+
+def neighbours_of_cores(p: DataFrame, key: str, alpha: float, w: DataFrame, column: str = "pseudo_p") -> DataFrame:
+    """Keys adjacent to a significant observation that are not significant themselves."""
+    c = cores(p, key, alpha, column)
+    near = w.where("src <> dst").join(c.select(F.col(key).alias("src")), "src", "left_semi").select(F.col("dst").alias(key)).distinct()
+    return near.join(c, key, "left_anti")
+
+
+def distance_scatter(points: DataFrame, key: str, xs: list[str], max_distance: float, x: str = "x", y: str = "y", kind: str = "euclidean", space: str = "euclidean") -> DataFrame:
+    """(src, dst, d, value_d) of pairs src < dst up to max_distance: distance in space against distance of standardized values."""
+    from lattix.operators.weights import pairs_within
+
+    v = standardized(points.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(xs)]).dropna(), *[f"v{i}" for i in range(len(xs))])
+    p = pairs_within(points, key, max_distance, x, y, space).where("src < dst")
+    for end in ("src", "dst"):
+        p = p.join(v.select(F.col("id").alias(end), *[F.col(f"v{i}").alias(f"{end}{i}") for i in range(len(xs))]), end)
+    gaps = [F.col(f"src{i}") - F.col(f"dst{i}") for i in range(len(xs))]
+    far = sum((F.abs(g) for g in gaps), F.lit(0.0)) if kind == "manhattan" else F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
+    return p.select("src", "dst", "d", far.alias("value_d"))
+
+
+def covariogram(points: DataFrame, key: str, value: str, max_distance: float, x: str = "x", y: str = "y") -> DataFrame:
+    """(src, dst, d, product) of pairs src < dst up to max_distance: product of values standardized with the variance over n."""
+    from lattix.operators.weights import pairs_within
+
+    d = points.where(F.col(value).isNotNull())
+    s = scalars(d, m=F.avg(value), sd=F.stddev_pop(value))
+    z = d.select(F.col(key).alias("id"), ratio(F.col(value) - literal(s["m"]), literal(s["sd"])).alias("z"))
+    p = pairs_within(d, key, max_distance, x, y).where("src < dst")
+    p = p.join(z.select(F.col("id").alias("src"), F.col("z").alias("a")), "src").join(z.select(F.col("id").alias("dst"), F.col("z").alias("b")), "dst")
+    return p.select("src", "dst", "d", (F.col("a") * F.col("b")).alias("product"))
+
+
+def cluster_match(df: DataFrame, key: str, *clusters: str) -> DataFrame:
+    """(key, cluster): observations alike in every clustering share a class, numbered by falling size."""
+    from lattix.operators.cluster import relabel
+
+    d = df.dropna(subset=list(clusters)).select(key, F.struct(*clusters).alias("cluster"))
+    return relabel(d, key, "cluster")

@@ -212,3 +212,19 @@ def colocation(df: DataFrame, columns: list[str], into: str = "shared") -> DataF
         s = F.col(c) == F.col(columns[0])
         same = s if same is None else same & s
     return df.withColumn(into, F.when(same, F.col(columns[0])))
+
+
+def averages_test(df: DataFrame, x: str, regime: str) -> dict[str, float]:
+    """Means of a value inside and outside a regime and the analysis-of-variance F(1, n - 2) of their difference."""
+    from lattix.functions.special import f_sf
+
+    r = F.col(regime).cast("int")
+    d = df.where(F.col(x).isNotNull() & r.isNotNull())
+    s = scalars(d, n0=F.count(F.when(r == 0, 1)), n1=F.count(F.when(r == 1, 1)), m0=F.avg(F.when(r == 0, F.col(x))), m1=F.avg(F.when(r == 1, F.col(x))), v0=F.var_pop(F.when(r == 0, F.col(x))), v1=F.var_pop(F.when(r == 1, F.col(x))))
+    n0, n1 = s["n0"], s["n1"]
+    if not n0 or not n1 or n0 + n1 < 3:
+        return {"n0": n0, "n1": n1, "mean0": s["m0"], "mean1": s["m1"], "f": None, "p": None}
+    within = (s["v0"] * n0 + s["v1"] * n1) / (n0 + n1 - 2)
+    between = n0 * n1 / (n0 + n1) * (s["m0"] - s["m1"]) ** 2
+    f = between / within if within else None
+    return {"n0": n0, "n1": n1, "mean0": s["m0"], "mean1": s["m1"], "f": f, "p": None if f is None else f_sf(f, 1, n0 + n1 - 2)}

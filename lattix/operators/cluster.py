@@ -27,6 +27,15 @@ def _collect(df: DataFrame, key: str, xs: list[str]) -> tuple[list, np.ndarray]:
     return [r[0] for r in rows], np.array([list(r[1:]) for r in rows], float)
 
 
+def standard_matrix(df: DataFrame, key: str, xs: list[str]) -> tuple[list, np.ndarray]:
+    """Ids and standardized values of at most MOST rows (more raise)."""
+    ids, x = _collect(df, key, xs)
+    if len(ids) < 2:
+        return ids, np.zeros((len(ids), len(xs)))
+    sd = x.std(axis=0, ddof=1)
+    return ids, (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
+
+
 def _table(df: DataFrame, key: str, ids: list, labels) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     return df.sparkSession.createDataFrame([(i, int(c)) for i, c in zip(ids, labels)], f"{key} {kind}, cluster int")
@@ -73,8 +82,11 @@ def kmedians(df: DataFrame, key: str, xs: list[str], k: int, seed: int = 1, iter
     return relabel(d.withColumn("cluster", pick).select(F.col("id").alias(key), "cluster"), key, "cluster")
 
 
-def dbscan(points: DataFrame, key: str, radius: float, min_points: int, x: str = "x", y: str = "y") -> DataFrame:
-    """(key, cluster): clusters numbered from 1 by size; -1 noise; a border point joins the core neighbour's cluster of least number.  min_points counts the point itself."""
+def dbscan(points: DataFrame, key: str, radius: float, min_points: int, x: str = "x", y: str = "y", borders: bool = True) -> DataFrame:
+    """(key, cluster): clusters numbered from 1 by size; -1 noise; a border point joins the core neighbour's cluster of least number.  min_points counts the point itself.
+
+    Without borders (DBSCAN*) only core points belong to clusters, as when the mutual-reachability tree is cut at the radius.
+    """
     from lattix.operators.graph import connected_components
     from lattix.operators.weights import pairs_within
     from lattix.session import cut
@@ -87,7 +99,7 @@ def dbscan(points: DataFrame, key: str, radius: float, min_points: int, x: str =
     comp = connected_components(inner).select(F.col("node").alias("id"), F.col("component"))
     comp = core.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     border = near.join(core.withColumnRenamed("id", "src"), "src", "left_anti").join(comp.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("component"))
-    found = relabel(comp.unionByName(border), "id", "component")
+    found = relabel(comp.unionByName(border) if borders else comp, "id", "component")
     return ids.join(found, "id", "left").select(F.col("id").alias(key), F.coalesce("component", F.lit(-1)).alias("cluster"))
 
 
@@ -150,9 +162,7 @@ def _contiguity(w: DataFrame, ids: list) -> np.ndarray:
 
 def hierarchical(df: DataFrame, key: str, xs: list[str], k: int, method: str = "ward", w: DataFrame | None = None) -> DataFrame:
     """single, complete, average or ward; with weights, only contiguous clusters merge."""
-    ids, x = _collect(df, key, xs)
-    sd = x.std(axis=0, ddof=1)
-    x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
+    ids, x = standard_matrix(df, key, xs)
     return _table(df, key, ids, cut_tree(len(ids), linkage(x, method, None if w is None else _contiguity(w, ids)), k))
 
 
@@ -174,13 +184,10 @@ def spanning_tree(x: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def skater(df: DataFrame, key: str, xs: list[str], k: int, w: DataFrame, least: int = 1) -> DataFrame:
-    """Cuts the contiguity graph's minimum spanning tree where the sum of squares falls most; parts hold at least `least` rows."""
-    ids, x = _collect(df, key, xs)
-    sd = x.std(axis=0, ddof=1)
-    x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
-    tree: dict[int, set[int]] = {i: set() for i in range(len(ids))}
-    for a, b in spanning_tree(x, _contiguity(w, ids)):
+def partition_tree(x: np.ndarray, edges: list[tuple[int, int]], k: int, least: int = 1) -> np.ndarray:
+    """Cuts a spanning tree where the sum of squares falls most, until k parts of at least `least` rows each remain."""
+    tree: dict[int, set[int]] = {i: set() for i in range(len(x))}
+    for a, b in edges:
         tree[a].add(b)
         tree[b].add(a)
 
@@ -221,7 +228,7 @@ def skater(df: DataFrame, key: str, xs: list[str], k: int, w: DataFrame, least:
         return top, edge
 
     parts, seen = [], set()
-    for i in range(len(ids)):
+    for i in range(len(x)):
         if i not in seen:
             parts.append(part_of(i))
             seen.update(parts[-1])
@@ -237,10 +244,16 @@ def skater(df: DataFrame, key: str, xs: list[str], k: int, w: DataFrame, least:
         parts.append(part_of(b))
         cuts[at] = best_cut(parts[at])
         cuts.append(best_cut(parts[-1]))
-    labels = np.zeros(len(ids), int)
+    labels = np.zeros(len(x), int)
     for c, p in enumerate(sorted(parts, key=lambda p: (-len(p), p[0]))):
         labels[p] = c + 1
-    return _table(df, key, ids, labels)
+    return labels
+
+
+def skater(df: DataFrame, key: str, xs: list[str], k: int, w: DataFrame, least: int = 1) -> DataFrame:
+    """Parts of the contiguity graph's minimum spanning tree; parts hold at least `least` rows."""
+    ids, x = standard_matrix(df, key, xs)
+    return _table(df, key, ids, partition_tree(x, spanning_tree(x, _contiguity(w, ids)), k, least))
 
 
 def pca(df: DataFrame, key: str, xs: list[str], components: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:

@@ -208,3 +208,12 @@ def ml_model(df: DataFrame, key: str, y: str, xs: list[str], w: DataFrame, kind:
         "n": n, "rho" if kind == "lag" else "lambda": r, "rho_se": float(se_r), "beta": beta.tolist(), "beta_se": se_b.tolist(), "sigma2": s2, "log_likelihood": best,
         "aic": -2 * best + 2 * params, "sc": -2 * best + params * math.log(n), "lr_test": 2 * (best - base), "lr_p": chi2_sf(2 * (best - base), 1),
     }
+
+
+def difference_in_differences(df: DataFrame, key: str, y: str, inside: str, after: str, mode: str = "both") -> tuple[list[dict], dict, DataFrame]:
+    """OLS on dummies: space (inside a selection), time (the later period), or both with their interaction."""
+    if mode not in ("space", "time", "both"):
+        raise ValueError(f"unknown mode {mode}")
+    s, t = F.col(inside).cast("int"), F.col(after).cast("int")
+    d = df.withColumn("SPACE", s).withColumn("TIME", t).withColumn("INTERACTION", s * t)
+    return ols(d, key, y, {"space": ["SPACE"], "time": ["TIME"], "both": ["SPACE", "TIME", "INTERACTION"]}[mode])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lattix.plans import models, spatial, tables
+from lattix.plans import models, regional, spatial, tables
 
 
 def queries() -> dict:
-    return {k: v for m in (tables, spatial, models) for k, v in m.QUERIES.items()}
+    return {k: v for m in (tables, spatial, models, regional) for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in (tables, spatial, models) for k, v in m.SQL.items()}
+    return {k: v for m in (tables, spatial, models, regional) for k, v in m.SQL.items()}

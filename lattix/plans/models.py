@@ -27,6 +27,10 @@ def _part(spark, d):
     return read_table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size", (F.col("p_partkey") % 7).alias("m"))
 
 
+def near_places(spark, d):
+    return weights.knn_weights(places(spark, d), "s_suppkey", 6)
+
+
 NORMAL = "s AS (SELECT count(*) AS n, avg(p_retailprice) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, p_retailprice) AS ay, covar_pop(b, p_retailprice) AS byy, var_pop(p_retailprice) AS yy FROM (SELECT p_retailprice, CAST(p_size AS DOUBLE) AS a, CAST(p_partkey % 7 AS DOUBLE) AS b FROM part)), f AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS b1, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM s)"
 
 
@@ -93,14 +97,12 @@ def ward_clusters(spark, d):
 
 @register("skater")
 def skater(spark, d):
-    c = cells(spark, d).where("p_partkey < 400")
-    return cluster.skater(c, "p_partkey", ["p_retailprice", "p_size"], 5, weights.lattice_weights(c, "p_partkey"))
+    return cluster.skater(places(spark, d), "s_suppkey", ["s_acctbal"], 5, near_places(spark, d))
 
 
 @register("contiguous_clusters")
 def contiguous_clusters(spark, d):
-    c = cells(spark, d).where("p_partkey < 200")
-    return cluster.hierarchical(c, "p_partkey", ["p_retailprice", "p_size"], 4, "average", weights.lattice_weights(c, "p_partkey"))
+    return cluster.hierarchical(places(spark, d), "s_suppkey", ["s_acctbal"], 4, "average", near_places(spark, d))
 
 
 @register("principal_components", """
