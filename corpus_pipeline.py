@@ -1,7 +1,7 @@
 """A training-corpus pipeline over the documents table, in five stages.
 
 language    drops texts without a letter, and those no language's regression claims (score below MIN_SCORE)
-near_dedup  keeps one document (the least id) of each SimHash component
+near_dedup  keeps one document (the least id) of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more
 decontaminate  drops documents that hold a window of a benchmark item
 pii         replaces personal data in texts by its kind
 encode      gives the piece ids of each text, and the text decoded from them
@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.llm import decontam, langid, pieces, pii, simhash
+from lattix.llm import decontam, langid, neardup, pieces, pii
 from lattix.llm.common import fold
 from lattix.session import ensure_checkpoint_dir, read_table
 
@@ -36,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    keep = simhash.components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    keep = neardup.components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
 
 

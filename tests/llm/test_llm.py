@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattix.llm import decontam, gru, hnsw, html_extract, langid, pieces, pii, quality, simhash, suffix
+from lattix.llm import decontam, gru, hnsw, html_extract, langid, neardup, pieces, pii, quality, simhash, suffix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa la mu nu xi omikron pi rho sigma tau".split()
@@ -461,6 +461,42 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontaminate", "pii", "encode"]
 
 
+@pytest.mark.parametrize("limit", [None, 3])
+def test_near_dedup_is_exact_jaccard(spark, limit):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    line = prose(rng, 25)
+    texts = [prose(rng, 90) if i % 3 else prose(rng, 60) + " " + line for i in range(40)]
+    for i in range(90):  # edited copies, of one text most of all, with similarities on both sides of 0.8
+        words = texts[0 if i < 50 else rng.randrange(40)].split()
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(len(words))] = f"new{rng.random()}"
+        texts.append(" ".join(words[rng.randrange(4) :]))
+    texts += [texts[3], texts[3].upper(), "alpha beta", "alpha  Beta", line]
+    order = rng.sample(range(len(texts)), len(texts))
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    pairs = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                pairs += sets[i] != sets[j]
+                root[find(i)] = find(j)
+    want = {}
+    for i, d in enumerate(order):
+        want[find(i)] = min(d, want.get(find(i), d))
+    df = spark.createDataFrame([(d, texts[i], "en", "s", 1) for i, d in enumerate(order)], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.components(df, limit=limit).collect()}
+    assert pairs > 30 and got == {d: want[find(i)] for i, d in enumerate(order)}
+    if limit is None:
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(want.values())
+
+
 def test_digest_of_query_columns(spark, docs):
     spans = [(k, a, b) for k, a, b, _ in pii.find("a@b.cc 10.0.0.1")]
     assert hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest() == hashlib.sha256(b"email:0:6,ip:7:15").hexdigest()
