@@ -1,12 +1,15 @@
 """Nearest neighbours by inner product: one navigable small-world graph a shard, results merged.
 
-Rows are dealt by hash of the id into shards of about `shard_rows`, so graphs stay
+Distinct vectors are dealt by hash into shards of about `shard_rows`, so graphs stay
 of one size however large the table is.  Each shard's graph is stored as
 flat arrays: vectors, and for every level a node list and a neighbour table of fixed
 width.  Levels thin out geometrically; on each, a node's neighbours are chosen
 from its nearest candidates by the usual diversity rule, filled up with the nearest, and
 linked back.  Candidates come from blocked matrix products within the shard.
 
+Graphs hold distinct vectors, dealt to shards by the vector; a vector's least k + 1 ids (all a query can need, its own left
+out) stand beside it and are put in before the k best are taken, so a group of copies takes one place of a walk.
+
 Inner product becomes distance by one added coordinate, sqrt(M^2 - |x|^2), with M the
 largest norm.  Query blocks meet every shard; a block walks the graph together, one
 expansion of all its queries a step.  The `ef` best of a walk are rescored in double
@@ -14,7 +17,7 @@ precision on the original vectors; the k best of all shards stay.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, or whose length is
 not the commonest one (the longer, on ties), take no part; ties go to the smaller id; rows with an equal id are
-separate candidates, but never of their own id; a null id takes no part.
+separate candidates, but never of their own id (components 0.0 and -0.0 are equal); a null id takes no part.
 """
 
 from __future__ import annotations
@@ -108,6 +111,8 @@ def walk(x: np.ndarray, table: np.ndarray, place: np.ndarray, q: np.ndarray, sta
     nodes[:, :w] = start
     sims[:, :w] = np.einsum("nk,nwk->nw", q, x[start])
     done[:, :w] = False
+    twice = start[:, 1:] == start[:, :1]  # places filled up with the first
+    sims[:, 1:w][twice], done[:, 1:w][twice] = -np.inf, True
     seen[rows[:, None], start] = True
     while True:
         open_sims = np.where(done, -np.inf, sims)
@@ -121,14 +126,16 @@ def walk(x: np.ndarray, table: np.ndarray, place: np.ndarray, q: np.ndarray, sta
         ok = near >= 0
         near = np.where(ok, near, 0)
         ok &= ~seen[live[:, None], near]
-        seen[live[:, None], near] |= ok
+        r, c = np.nonzero(ok)  # not the padding, which would unmark node 0
+        seen[live[r], near[r, c]] = True
         s = np.where(ok, np.einsum("nk,nwk->nw", q[live], x[near]), -np.inf).astype(np.float32)
         every, alls = np.concatenate([nodes[live], near], 1), np.concatenate([sims[live], s], 1)
         alld = np.concatenate([done[live], ~ok], 1)
         top = np.argpartition(-alls, ef - 1, axis=1)[:, :ef]
         nodes[live], sims[live], done[live] = (np.take_along_axis(v, top, 1) for v in (every, alls, alld))
     by = np.argsort(-sims, axis=1, kind="stable")
-    return np.take_along_axis(nodes, by, 1), np.take_along_axis(sims, by, 1)
+    nodes, sims = np.take_along_axis(nodes, by, 1), np.take_along_axis(sims, by, 1)
+    return np.where(sims > -np.inf, nodes, -1), sims
 
 
 def search(x: np.ndarray, levels: list, q: np.ndarray, ef: int) -> np.ndarray:
@@ -145,7 +152,7 @@ def search(x: np.ndarray, levels: list, q: np.ndarray, ef: int) -> np.ndarray:
 
 def clean(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, int]:
     """(id, v array<double>) of the rows that take part, and their length (0: none)."""
-    v = F.col(embedding).cast("array<double>")
+    v = F.transform(F.col(embedding).cast("array<double>"), lambda e: e + F.lit(0.0))  # no -0.0
     ok = F.col(vec_id).isNotNull() & v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).where(F.coalesce(ok, F.lit(False)))
     first = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -166,25 +173,30 @@ def knn(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
     schema = "query_id bigint, vec_id bigint, score double"
     rows, dim = clean(vectors, vec_id, embedding)
     rows = cut(rows)
-    n = row_count(rows)
-    if not n:
+    if rows.isEmpty():
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     top = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)))).first()[0]
-    shards = max(1, -(-n // shard_rows))
+    # each vector's least k + 1 ids; an id's rows beyond the k-th change nothing
+    w = Window.partitionBy("v").orderBy("id")
+    least = rows.groupBy("v", "id").agg(F.count("*").alias("c")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "c"))), lambda e: F.array_repeat(e["id"], F.least(e["c"], F.lit(k)).cast("int"))))
+    vectors = cut(least.groupBy("v").agg(ids.alias("ids")))
+    shards = max(1, -(-row_count(vectors) // shard_rows))
 
     def lifted(v: np.ndarray) -> np.ndarray:
         u = v / top
         return np.c_[u, np.sqrt(np.maximum(0, 1 - (u * u).sum(axis=1)))].astype(np.float32)
 
     def index(key, table):
-        ids = table.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        v = _matrix(table.column("v").combine_chunks(), dim)[order]
+        v, ids = _matrix(table.column("v").combine_chunks(), dim), table.column("ids").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: ids[i])
+        v, ids = v[order], [ids[i] for i in order]
+        counts = np.array([len(i) for i in ids], np.int64)
         levels = build(lifted(v))
         flat = np.concatenate([np.r_[len(nodes), t.shape[1], nodes, t.ravel()].astype(np.int32) for nodes, t in levels])
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "ids": [ids[order].tobytes()], "vectors": [v.tobytes()], "graph": [flat.tobytes()]})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "counts": [counts.tobytes()], "ids": [np.array([i for own in ids for i in own], np.int64).tobytes()], "vectors": [v.tobytes()], "graph": [flat.tobytes()]})
 
-    graphs = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.hash("v")), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(index, "shard int, ids binary, vectors binary, graph binary")
+    graphs = vectors.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(index, "shard int, counts binary, ids binary, vectors binary, graph binary")
     blocks = max(1, -(-row_count(rows.where(is_query)) // block))
 
     def pack(key, table):
@@ -195,8 +207,8 @@ def knn(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for qids, q, ids, vectors, graph in zip(*(b.column(i) for i in range(5))):
-                qids, ids = (np.frombuffer(v.as_py(), np.int64) for v in (qids, ids))
+            for qids, q, counts, ids, vectors, graph in zip(*(b.column(i) for i in range(6))):
+                qids, counts, ids = (np.frombuffer(v.as_py(), np.int64) for v in (qids, counts, ids))
                 q, v = (np.frombuffer(w.as_py(), np.float64).reshape(-1, dim) for w in (q, vectors))
                 flat, levels, at = np.frombuffer(graph.as_py(), np.int32), [], 0
                 while at < len(flat):
@@ -204,17 +216,32 @@ def knn(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
                     levels.append((flat[at + 2 : at + 2 + size], flat[at + 2 + size : at + 2 + size + size * width].reshape(size, width)))
                     at += 2 + size + size * width
                 x = lifted(v)
+                # a vector's ids in a row of `own` (-1: none), its least id and the least one after
+                own = np.full((len(v), counts.max()), -1, np.int64)
+                has = np.arange(counts.max()) < counts[:, None]
+                own[has] = ids
+                other = has & (own != own[:, :1])
+                second, alone = own[np.arange(len(v)), other.argmax(axis=1)], ~other.any(axis=1)
                 flatq = np.c_[q, np.zeros(len(q))].astype(np.float32)
                 for lo in range(0, len(q), 256):
+                    asker = qids[lo : lo + 256, None]
                     found = search(x, levels, flatq[lo : lo + 256], min(ef, len(x)))
-                    ok = (found >= 0) & (ids[found] != qids[lo : lo + 256, None])
+                    self_ = own[found, 0] == asker
+                    ok = (found >= 0) & ~(self_ & alone[found])
                     score = np.where(ok, np.einsum("nk,nwk->nw", q[lo : lo + 256], v[np.maximum(found, 0)]), -np.inf)
-                    by = np.lexsort((ids[found], -score), axis=1)[:, :k]
+                    # the k best are among the ids of the k vectors that lead by score and least id
+                    by = np.lexsort((np.where(self_, second[found], own[found, 0]), -score), axis=1)[:, :k]
+                    found, score, ok = (np.take_along_axis(y, by, 1) for y in (found, score, ok))
+                    every = own[found].reshape(len(found), -1)
+                    score = np.repeat(score, own.shape[1], axis=1)
+                    ok = np.repeat(ok, own.shape[1], axis=1) & has[found].reshape(len(found), -1) & (every != asker)
+                    score = np.where(ok, score, -np.inf)
+                    by = np.lexsort((every, -score), axis=1)[:, :k]
                     row, col = np.nonzero(np.take_along_axis(ok, by, 1))
                     pick = by[row, col]
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[lo + row]), pa.array(ids[found[row, pick]]), pa.array(score[row, pick])], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[lo + row]), pa.array(every[row, pick]), pa.array(score[row, pick])], names=["query_id", "vec_id", "score"])
 
-    found = pairs.join(graphs, "shard").select("qids", "q", "ids", "vectors", "graph").repartition(max(1, shards * blocks)).mapInArrow(answer, schema)
+    found = pairs.join(graphs, "shard").select("qids", "q", "counts", "ids", "vectors", "graph").repartition(max(1, shards * blocks)).mapInArrow(answer, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -344,6 +344,21 @@ def test_knn_recall(spark):
     assert len(got) == 75 and hit >= 0.97 * 1500
 
 
+def test_knn_large_group_of_equal_vectors(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1500, 8)).astype(np.float32).astype(float)
+    order = rng.permutation(1500)
+    v[order[:700]] = v[order[0]]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(2000, v[order[0]].tolist())] * 2, "vec_id long, embedding array<float>")
+    ids, every = np.r_[np.arange(1500), 2000, 2000], np.r_[v, v[order[:1]], v[order[:1]]]
+    got = {}
+    for r in hnsw.knn(df, F.col("id") % 20 == 0, shard_rows=400, ef=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in [int(i) for i in order[:700] if i % 20 == 0]:
+        s = np.where(ids == q, -np.inf, every @ v[q])
+        assert got[q] == ids[np.lexsort((ids, -s.round(9)))[:20]].tolist()
+
+
 def test_knn_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0]), (20, [0.0, 1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("v", F.lit(1))
