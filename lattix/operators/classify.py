@@ -73,35 +73,56 @@ def box_categories(df: DataFrame, x: str, key: str, factor: float = 1.5, into: s
     return df.withColumn(into, cat)
 
 
-def natural_breaks(df: DataFrame, x: str, k: int, most_values: int = 5000) -> list[float]:
-    """Optimal (Fisher-Jenks) breaks over distinct values with counts.  Up to `most_values` distinct values go to the driver;
-    beyond, values are first binned into that many equal steps, whose means and counts stand for them."""
+def natural_breaks(df: DataFrame, x: str, k: int) -> list[float]:
+    """Optimal (Fisher-Jenks) breaks over all distinct values with their counts, at every size: the driver holds 16 bytes a
+    distinct value in sorted order, and the dynamic programme takes k n log n steps, as optimal cuts never move back."""
     import numpy as np
 
     c = F.col(x).cast("double")
-    d = df.where(c.isNotNull())
-    groups = d.groupBy(c.alias("v")).agg(F.count("*").alias("n"), F.min(c).alias("low"))
-    if scalars(groups, n=F.count("*"))["n"] > most_values:
-        s = scalars(d, lo=F.min(c), hi=F.max(c))
-        step = (s["hi"] - s["lo"]) / most_values
-        groups = d.groupBy(F.floor((c - s["lo"]) / step).alias("b")).agg(F.avg(c).alias("v"), F.count("*").alias("n"), F.min(c).alias("low"))
-    rows = sorted((r["v"], r["n"], r["low"]) for r in groups.select("v", "n", "low").collect())
-    v, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    k = min(k, len(v))
-    sn, sv, sq = (np.r_[0.0, np.cumsum(z)] for z in (n, n * v, n * v * v))
-    best = np.full((k + 1, len(v) + 1), np.inf)
-    back = np.zeros((k + 1, len(v) + 1), int)
-    best[0, 0] = 0
-    for c_ in range(1, k + 1):
-        for j in range(c_, len(v) + 1):
-            i = np.arange(c_ - 1, j)
-            cost = best[c_ - 1, i] + (sq[j] - sq[i]) - (sv[j] - sv[i]) ** 2 / (sn[j] - sn[i])
-            at = int(cost.argmin())
-            best[c_, j], back[c_, j] = cost[at], i[at]
-    cuts, j = [], len(v)
-    for c_ in range(k, 1, -1):
-        j = back[c_, j]
-        cuts.append(float(rows[j][2]))
+    groups = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n")).toArrow()
+    v, n = groups.column("v").to_numpy(), groups.column("n").to_numpy().astype(float)
+    order = np.argsort(v, kind="stable")
+    v, n = v[order], n[order]
+    m, k = len(v), min(k, len(v))
+    if k < 2:
+        return []
+    wide = np.longdouble  # squares of far values beside near ones
+    mid = wide((n * v).sum() / n.sum())
+    sn, sv, sq = (np.r_[wide(0), np.cumsum(z)] for z in (n.astype(wide), n * (v - mid), n * (v - mid) ** 2))
+
+    def cost(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Squared deviations of values i..j-1."""
+        return np.maximum((sq[j] - sq[i]) - (sv[j] - sv[i]) ** 2 / (sn[j] - sn[i]), 0)
+
+    best = np.r_[wide(np.inf), cost(np.zeros(m, int), np.arange(1, m + 1))]
+    backs = []
+    for c_ in range(2, k + 1):
+        now, back = np.full(m + 1, wide(np.inf)), np.zeros(m + 1, int)
+        # divide and conquer, all middles of one depth at once: (ends lo..hi, cuts from..to)
+        lo, hi, low, high = (np.array([z]) for z in (c_, m, c_ - 1, m - 1))
+        while len(lo):
+            j = (lo + hi) // 2
+            last = np.minimum(high, j - 1)
+            stops = np.cumsum(last - low + 1)
+            for part in np.array_split(np.arange(len(j)), max(1, int(stops[-1]) >> 22)):
+                if not len(part):
+                    continue
+                width = (last - low + 1)[part]
+                first = np.r_[0, np.cumsum(width)[:-1]]
+                i = np.repeat(low[part] - first, width) + np.arange(width.sum())
+                total = best[i] + cost(i, np.repeat(j[part], width))
+                least = np.minimum.reduceat(total, first)
+                place = np.flatnonzero(total == np.repeat(least, width))
+                pick = place[np.searchsorted(place, first)]
+                now[j[part]], back[j[part]] = least, i[pick]
+            left, right = lo < j, j < hi
+            lo, hi, low, high = np.r_[lo[left], j[right] + 1], np.r_[j[left] - 1, hi[right]], np.r_[low[left], back[j][right]], np.r_[back[j][left], high[right]]
+        best = now
+        backs.append(back)
+    cuts, j = [], m
+    for back in backs[::-1]:
+        j = int(back[j])
+        cuts.append(float(v[j]))
     return cuts[::-1]
 
 

@@ -76,6 +76,25 @@ def test_percentile_vectors(spark):
     assert classify.percentiles(df, "v", "id", [10, 11, 50, 89, 90]) == pytest.approx([15, 15.25, 35, 49.5, 50])
 
 
+def test_natural_breaks_of_many_values_with_an_outlier(spark):
+    # five runs of 1,400 values far apart for their width, and one value far beyond: with six classes the optimum is plain
+    v = [1000.0 * g + i / 14 for g in range(5) for i in range(1400)] + [1e9]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    assert classify.natural_breaks(df, "v", 6) == [1000.0, 2000.0, 3000.0, 4000.0, 1e9]
+    rng = np.random.default_rng(3)
+    for n, k in ((1, 3), (2, 2), (40, 5), (300, 4)):
+        v = np.unique(rng.integers(0, 500, n)).astype(float) ** 2
+        w = rng.integers(1, 4, len(v))
+        cost = lambda i, j: (w[i:j] * (v[i:j] - np.average(v[i:j], weights=w[i:j])) ** 2).sum()
+        got = classify.natural_breaks(spark.createDataFrame([(x,) for x, c in zip(v.tolist(), w.tolist()) for _ in range(c)], "v double"), "v", k)
+        stops = [0, *np.searchsorted(v, got).tolist(), len(v)]
+        best = {(0, 0): 0.0}
+        for c in range(1, min(k, len(v)) + 1):
+            for j in range(c, len(v) + 1):
+                best[c, j] = min(best[c - 1, i] + cost(i, j) for i in range(c - 1, j) if (c - 1, i) in best)
+        assert len(got) == min(k, len(v)) - 1 and sum(cost(a, b) for a, b in zip(stops, stops[1:])) == pytest.approx(best[min(k, len(v)), len(v)])
+
+
 def test_natural_breaks_are_optimal(spark):
     from itertools import combinations
 
