@@ -7,8 +7,9 @@ a token of the remainder also takes the add-one share of its count among all of
 every text has a proper probability.
 
 Training is truncated backpropagation through time (windows of STEPS tokens, the state carried
-on) by tasks over their shares of a `train_share` of the training texts, drawn by hash, so it grows with
-the input; the tasks' weights are averaged after each of `rounds` rounds.  Scoring carries the
+on) by tasks over their shares of all training texts, each text in one of `rounds` rounds; the tasks'
+weights are averaged after each round.  Texts are dealt to tasks and rounds by id and text, so copies of a text
+with ids of their own are spread.  Scoring carries the
 state over the whole text, whatever its length; texts of a batch advance together and leave as they end, and the
 output layer is worked off class by class.
 
@@ -229,7 +230,7 @@ def _ids(texts: list[list[bytes]], known: dict[bytes, int]) -> list[np.ndarray]:
 
 
 def train(texts: DataFrame, known: dict[bytes, int], tokens: int, rounds: int = 3, tokens_a_task: int = 1_000_000, most_tasks: int = 256) -> Net:
-    """texts: (text); tokens: about how many tokens it has.  Rounds of local training and averaging."""
+    """texts: (doc, text); tokens: about how many tokens it has.  Rounds of local training and averaging."""
     tasks = int(max(1, min(most_tasks, tokens // tokens_a_task)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +238,7 @@ def train(texts: DataFrame, known: dict[bytes, int], tokens: int, rounds: int =
             ids = [np.r_[i, END].astype(np.int16).tobytes() for i in _ids([split(t) for t in b.column(0).to_pylist()], known)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ids, pa.binary())], names=["key", "ids"])
 
-    rows = texts.select("text", F.xxhash64("text").alias("key")).mapInArrow(encode, "key bigint, ids binary")
+    rows = texts.select("text", F.xxhash64("doc", "text").alias("key")).mapInArrow(encode, "key bigint, ids binary")
     rows = cut(rows.withColumn("part", F.pmod("key", F.lit(tasks)).cast("int")).repartition(tasks, "part").sortWithinPartitions("key", "ids"))
     net = Net.fresh()
     for turn in range(rounds):
@@ -266,7 +267,7 @@ def train(texts: DataFrame, known: dict[bytes, int], tokens: int, rounds: int =
     return net
 
 
-def score_texts(docs: DataFrame, is_training, doc_id: str = "doc_id", text: str = "text", train_share: float = 0.1, hot: int = HOT) -> DataFrame:
+def score_texts(docs: DataFrame, is_training, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row; is_training is a Column over docs."""
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"), F.coalesce(is_training, F.lit(False)).alias("training"))
     counts = cut(token_counts(rows.where("training").select("text")))
@@ -277,8 +278,7 @@ def score_texts(docs: DataFrame, is_training, doc_id: str = "doc_id", text: str
     vocab_tokens = sum(count_of[w] for w in known) + ends
     rest = math.log10(total - vocab_tokens + max(0, distinct - len(known) - 1) + 1)
     base = math.log10(total + distinct + 1)
-    drawn = rows.where("training").where(F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 20)) < int(train_share * (1 << 20)))
-    net = train(drawn.select("text"), known, int(total * train_share))
+    net = train(rows.where("training").select("doc", "text"), known, int(total))
     log_of = {w: (known.get(w, OTHER), math.log10(c + 1)) for w, c in top if w != END_WORD}
     end_log = math.log10(ends + 1)
     end_known = int(ends > 0)

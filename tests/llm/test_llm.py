@@ -447,6 +447,17 @@ def test_lm_learns():
     assert net.score([ids[:200]])[0] > 0.5 * before
 
 
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, "alpha beta gamma" if i % 3 == 0 else prose(rng, 30)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    given = []
+    train = gru.train
+    monkeypatch.setattr(gru, "train", lambda texts, *a, **b: given.append(sorted(r["text"] for r in texts.collect())) or train(texts, *a, **b))
+    assert gru.score_texts(df, F.col("doc_id") % 7 != 2).count() == 300
+    assert given == [sorted(t for i, t in rows if i % 7 != 2)]
+
+
 def test_lm_odd(odd, none):
     assert gru.score_texts(none, F.lit(True)).count() == 0
     assert gru.score_texts(odd, F.lit(True)).count() == 5
