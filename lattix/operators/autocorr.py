@@ -165,6 +165,8 @@ def permute(obs: DataFrame, key: str, x: str, w: DataFrame, permutations: int =
     import numpy as np
     import pyarrow as pa
 
+    if statistic not in ("moran", "geary"):
+        raise ValueError(f"unknown statistic {statistic!r}: moran or geary")
     d, e = usable(obs, key, w, x)
     d = standardized(d, x)
     n = scalars(d, n=F.count("*"))["n"]

@@ -271,4 +271,4 @@ def local_moran_permutation(spark, d):
 
 @register("local_geary_permutation")
 def local_geary_permutation(spark, d):
-    return autocorr.permute(supplier(spark, d), "s_suppkey", "s_acctbal", nation_block(spark, d), 199, statistic="geary")
+    return autocorr.permute(supplier(spark, d), "s_suppkey", "s_acctbal", nation_block(spark, d), statistic="geary")

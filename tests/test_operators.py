@@ -193,3 +193,13 @@ def test_geojson(spark, tmp_path):
     (tmp_path / "a.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"n":1},"geometry":{"type":"Point","coordinates":[2.0,3.0]}},{"type":"Feature","properties":{"n":2},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}]}')
     got = {r["n"]: r for r in files.read(spark, "geojson", str(tmp_path / "a.geojson")).collect()}
     assert (got[1]["x"], got[1]["y"]) == (2.0, 3.0) and len(got[2]["rings"][0]) == 4
+
+
+def test_permute_names_its_statistics_and_geary_has_999_draws(board, spark):
+    from lattix.plans.catalog import queries
+
+    with pytest.raises(ValueError):
+        autocorr.permute(board, "id", "s", board.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight")), 9, statistic="join_count")
+    got = queries()["local_geary_permutation"](spark, "/root/testdata/sf0.01")
+    p = [r["pseudo_p"] for r in got.collect() if r["pseudo_p"] is not None]
+    assert p and all(abs(v * 1000 - round(v * 1000)) < 1e-9 for v in p) and any(abs(v * 200 - round(v * 200)) > 1e-9 for v in p)
