@@ -3,8 +3,8 @@
 Of all suffixes (at word starts) only those at minimiser places are retained: the least
 8-gram hash of every span of SPAN places.  Any passage of `least` (50) words holds such a place
 at the same offset wherever it occurs, with `PREFIX` words after it.  Retained
-suffixes are ordered by the hash of their prefix and neighbours compared, which
-leaves those whose prefix another document shares.  Matches are then extended left and right:
+suffixes are not sorted: they are grouped by the hash of their prefix, which leaves
+those whose prefix another document shares.  Matches are then extended left and right:
 each place answers for the windows of `least` words that chose it, and (a) places whose whole context agrees
 between documents are repeats outright, (b) of the others, one representative a context is extended
 window by window.  The result is exact: a word is repeated if some window of `least` words around it occurs
