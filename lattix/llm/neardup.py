@@ -8,8 +8,9 @@ Rows of equal sets are one entry.  Sets that similar share a shingle among the f
 each, whatever the common order of shingles, so only these heads meet, by shingle (no link is lost).
 Shingles that are in many heads come last in the order, so a line common to many texts is in few heads.
 A shingle's entries are first compared with one pivot, the entry with the most shared shingles in its head,
-then with a pivot of another component, and last pair by pair, but only across components.  So a group of
-near copies costs about one comparison an entry.  Every proposed pair is confirmed on the whole sets.
+then with a pivot of another component, and last pair by pair, but only across components.  A group of
+near copies alike to a pivot costs one comparison an entry; one in many components is compared with the
+square of its size (README).  Every proposed pair is confirmed on the whole sets.
 
 Defined results: null and wordless texts have the empty set and are copies of each other; a null doc_id row
 is linked like any other but never names a component (all null: component null).
