@@ -1,19 +1,22 @@
 """Nearest neighbours by inner product: one navigable small-world graph a shard, results merged.
 
-Distinct vectors are dealt by hash into shards of about `shard_rows`, so graphs stay
-of one size however large the table is.  Each shard's graph is stored as
-flat arrays: vectors, and for every level a node list and a neighbour table of fixed
-width.  Levels thin out geometrically; on each, a node's neighbours are chosen
-from its nearest candidates by the usual diversity rule, filled up with the nearest, and
-linked back.  Candidates come from blocked matrix products within the shard.
-
-Graphs hold distinct vectors, dealt to shards by the vector; a vector's least k + 1 ids (all a query can need, its own left
+Inner product becomes distance by one added coordinate, sqrt(M^2 - |x|^2), with M the largest norm.  Distinct vectors are dealt
+to cells of about `shard_rows` by the nearest of a set of centroids (k-means over a sample of at most SAMPLE rows, MOST_CELLS
+centroids at most); a cell of over one and a half times that size is split by hash, so that a shard's size is bounded however
+the vectors clump.  Every row is in a shard.  A query meets the shards of its `probes` nearest cells, the fewest that hold
+a COVER share of the true neighbours of CALIBRATION rows of the sample among the sample.  So clumped vectors
+meet a few cells at any size; vectors without any structure (uniform on the sphere) need most cells, and no routing helps them.
+
+A shard's graph is built by insertion: levels are prefixes of one random order that thin out geometrically; a level begins
+with the graph of the level above, and its further nodes come in batches: each walks down from the top to its candidates (its
+batch's own nearest beside them), is linked to a diverse choice of them, and linked back.  It is stored as flat arrays:
+vectors in that order, and for every level a neighbour table of fixed width.
+
+Graphs hold distinct vectors; a vector's least k + 1 ids (all a query can need, its own left
 out) stand beside it and are put in before the k best are taken, so a group of copies takes one place of a walk.
 
-Inner product becomes distance by one added coordinate, sqrt(M^2 - |x|^2), with M the
-largest norm.  Query blocks meet every shard; a block walks the graph together, one
-expansion of all its queries a step.  The `ef` best of a walk are rescored in double
-precision on the original vectors; the k best of all shards stay.
+A block of queries walks a graph together, WIDE expansions of all its queries a step.  The `ef` best of a walk are rescored in
+double precision on the original vectors; the k best of all shards stay.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, or whose length is
 not the commonest one (the longer, on ties), take no part; ties go to the smaller id; rows with an equal id are
@@ -32,122 +35,172 @@ from pyspark.sql import functions as F
 from lattix.llm.common import row_count
 from lattix.session import cut
 
-WIDTH, THIN = 32, 16
+WIDTH, THIN, WIDE = 32, 16, 4
+SAMPLE, MOST_CELLS = 1 << 16, 2048
+COVER, CALIBRATION = 0.98, 256
 
 
-def _choose(x: np.ndarray, own: np.ndarray, cand: np.ndarray, dist: np.ndarray, width: int) -> np.ndarray:
-    """Diverse neighbours of nodes own from candidates sorted by distance: one is kept if it is nearer to the node
+def _choose(x: np.ndarray, cand: np.ndarray, dist: np.ndarray, width: int) -> np.ndarray:
+    """Diverse neighbours of nodes from candidates sorted by distance (-1: none): one is kept if it is nearer to the node
     than to all kept before; free places go to the nearest left out.  -1 where there is none."""
     n, c = cand.shape
+    valid = cand >= 0
     kept = np.zeros((n, c), bool)
     vec = x[np.maximum(cand, 0)]
-    between = np.maximum(2 * (1 - np.einsum("nik,njk->nij", vec, vec)), 0)  # unit vectors
-    valid = cand >= 0
+    between = 2 - 2 * (vec @ vec.transpose(0, 2, 1))  # unit vectors
+    near = between < dist[:, :, None]  # near[i, j, m]: candidate j is nearer to m than to the node
     for j in range(c):
-        near = (kept & (between[:, :, j] < dist[:, j, None])).any(axis=1)
-        kept[:, j] = valid[:, j] & ~near & (kept.sum(axis=1) < width)
+        kept[:, j] = valid[:, j] & ~(kept & near[:, j]).any(axis=1) & (kept.sum(axis=1) < width)
     order = np.argsort(np.where(kept, 0, np.where(valid, 1, 2)), axis=1, kind="stable")[:, :width]
     return np.where(np.take_along_axis(valid, order, 1), np.take_along_axis(cand, order, 1), -1)
 
 
-def build(x: np.ndarray, width: int = WIDTH, candidates: int = 48, seed: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Levels, top first: (nodes, neighbours): neighbours[i] are the table places in x of nodes[i]'s neighbours, -1 padded."""
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(x))
+def _by_similarity(nodes: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    by = np.argsort(-sims, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(nodes, by, 1), np.take_along_axis(sims, by, 1)
+
+
+def _link_back(x: np.ndarray, table: np.ndarray, src: np.ndarray, dst: np.ndarray) -> None:
+    """Adds src to the neighbours of dst; where a row would overflow, a diverse choice of the WIDTH stays."""
+    width = table.shape[1]
+    sim = np.einsum("ij,ij->i", x[src], x[dst])
+    by = np.lexsort((-sim, dst))
+    src, dst = src[by], dst[by]
+    node, first, many = np.unique(dst, return_index=True, return_counts=True)
+    place = np.arange(len(dst)) - np.repeat(first, many)
+    fresh = np.full((len(node), min(width, int(many.max()))), -1, table.dtype)
+    ok = place < fresh.shape[1]
+    fresh[np.repeat(np.arange(len(node)), many)[ok], place[ok]] = src[ok]
+    held = (table[node] >= 0).sum(axis=1)
+    fits = held + many <= width
+    at, col = np.nonzero(fresh[fits] >= 0)
+    table[node[fits][at], held[fits][at] + col] = fresh[fits][at, col]
+    full = node[~fits]
+    for lo in range(0, len(full), 1024):
+        own = full[lo : lo + 1024]
+        cand = np.concatenate([table[own], fresh[~fits][lo : lo + 1024]], 1)
+        s = np.where(cand >= 0, np.einsum("nk,nwk->nw", x[own], x[np.maximum(cand, 0)]), -np.inf)
+        cand, s = _by_similarity(cand, s, cand.shape[1])
+        table[own] = _choose(x, cand, np.where(cand >= 0, 2 - 2 * s, np.inf), width)
+
+
+def build(x: np.ndarray, ef: int = 64, batch: int = 512) -> list[np.ndarray]:
+    """Neighbour tables of the levels, top first, of the unit vectors x, whose order must be random: level l holds the nodes
+    0 to len(table) - 1; -1 fills a row up."""
     sizes = [len(x)]
-    while sizes[-1] > 4 * width:
+    while sizes[-1] > 4 * WIDTH:
         sizes.append(sizes[-1] // THIN)
-    levels = []
+    levels: list[np.ndarray] = []
     for size in sizes[::-1]:
-        nodes = np.sort(order[:size])
-        sub = x[nodes]
-        c = min(candidates, size - 1)
-        if c < 1:
-            levels.append((nodes, np.full((size, 1), -1, np.int32)))
-            continue
-        half = width // 2 if size > width else width
-        out = np.full((size, half), -1, np.int32)
-        for lo in range(0, size, 512):
-            sim = sub[lo : lo + 512] @ sub.T
-            rows = np.arange(sim.shape[0])
-            sim[rows, lo + rows] = -np.inf
-            near = np.argpartition(-sim, c - 1, axis=1)[:, :c]
-            s = np.take_along_axis(sim, near, 1)
-            by = np.argsort(-s, axis=1, kind="stable")
-            near, s = np.take_along_axis(near, by, 1), np.take_along_axis(s, by, 1)
-            got = _choose(sub, rows, near, 2 * (1 - s), half)
-            out[lo : lo + 512, : got.shape[1]] = got
-        src = np.repeat(np.arange(size), out.shape[1])
-        dst = out.ravel()
-        ok = dst >= 0
-        a, b = np.r_[src[ok], dst[ok]], np.r_[dst[ok], src[ok]]
-        forward = np.r_[np.zeros(ok.sum(), bool), np.ones(ok.sum(), bool)]
-        sim = np.einsum("ij,ij->i", sub[a], sub[b])
-        by = np.lexsort((-sim, forward, a))
-        a, b = a[by], b[by]
-        fresh = np.ones(len(a), bool)
-        pair = a.astype(np.int64) * size + b
-        _, first = np.unique(pair, return_index=True)
-        fresh[:] = False
-        fresh[first] = True
-        a, b = a[fresh], b[fresh]
-        place = np.arange(len(a)) - np.searchsorted(a, a)
-        full = np.full((size, width), -1, np.int32)
-        stay = place < width
-        full[a[stay], place[stay]] = b[stay]
-        levels.append((nodes, np.where(full >= 0, nodes[np.maximum(full, 0)], -1).astype(np.int32)))
+        table = np.full((size, WIDTH), -1, np.int32)
+        at = len(levels[-1]) if levels else 0
+        if levels:
+            table[:at] = levels[-1]
+        while at < size:
+            own = np.arange(at, min(size, at + batch))
+            q = x[own]
+            s = q @ q.T
+            s[np.triu_indices(len(own))] = -np.inf  # its batch's nodes before it
+            cand, s = _by_similarity(np.broadcast_to(own, s.shape), s, 16)
+            if levels:
+                found, fs = search(x, [*levels, table[:at]], q, min(ef, at))
+                cand, s = _by_similarity(np.concatenate([found, cand], 1), np.concatenate([fs, s], 1), ef)
+            cand = np.where(np.isfinite(s), cand, -1)
+            # links of half the width; the others are for links back
+            table[own, : WIDTH // 2] = _pad(_choose(x, cand, np.where(cand >= 0, 2 - 2 * s, np.inf), WIDTH // 2), WIDTH // 2)
+            r, c = np.nonzero(table[own] >= 0)
+            if len(r):
+                _link_back(x, table, own[r].astype(np.int32), table[own[r], c])
+            at += len(own)
+        levels.append(table)
     return levels
 
 
-def walk(x: np.ndarray, table: np.ndarray, place: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+def _pad(a: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(a, ((0, 0), (0, width - a.shape[1])), constant_values=-1)
+
+
+def walk(x: np.ndarray, table: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of all queries at once on one level; returns (nodes, similarities), each queries x ef, best first."""
-    n = len(q)
-    seen = np.zeros((n, len(x)), bool)
-    nodes = np.full((n, ef), -1, np.int64)
+    n, w = start.shape
+    every = np.arange(n)
+    seen = np.zeros((n, len(table)), bool)
+    nodes = np.full((n, ef), -1, np.int32)
     sims = np.full((n, ef), -np.inf, np.float32)
     done = np.ones((n, ef), bool)
-    rows = np.arange(n)
-    w = start.shape[1]
+    fresh = start >= 0
+    r, c = np.nonzero(fresh)
+    seen[r, start[r, c]] = True
     nodes[:, :w] = start
-    sims[:, :w] = np.einsum("nk,nwk->nw", q, x[start])
-    done[:, :w] = False
-    twice = start[:, 1:] == start[:, :1]  # places filled up with the first
-    sims[:, 1:w][twice], done[:, 1:w][twice] = -np.inf, True
-    seen[rows[:, None], start] = True
+    sims[r, c] = np.einsum("ij,ij->i", q[r], x[start[r, c]])
+    done[:, :w] = ~fresh
     while True:
         open_sims = np.where(done, -np.inf, sims)
-        best = open_sims.argmax(axis=1)
-        live = np.flatnonzero(open_sims[rows, best] > -np.inf)
+        live = every[open_sims.max(axis=1) > -np.inf]
         if not len(live):
             break
-        at = best[live]
-        done[live, at] = True
-        near = table[place[nodes[live, at]]]
-        ok = near >= 0
-        near = np.where(ok, near, 0)
-        ok &= ~seen[live[:, None], near]
-        r, c = np.nonzero(ok)  # not the padding, which would unmark node 0
-        seen[live[r], near[r, c]] = True
-        s = np.where(ok, np.einsum("nk,nwk->nw", q[live], x[near]), -np.inf).astype(np.float32)
-        every, alls = np.concatenate([nodes[live], near], 1), np.concatenate([sims[live], s], 1)
-        alld = np.concatenate([done[live], ~ok], 1)
+        open_sims = open_sims[live]
+        at = np.argpartition(-open_sims, WIDE - 1, axis=1)[:, :WIDE] if ef > WIDE else np.broadcast_to(np.arange(ef), (len(live), ef))
+        taken = np.take_along_axis(open_sims, at, 1) > -np.inf
+        done[live[:, None], at] = True
+        near = np.where(taken[:, :, None], table[nodes[live[:, None], at]], -1).reshape(len(live), -1)
+        r, c = np.nonzero(near >= 0)
+        to = near[r, c]
+        own = live[r]
+        new = ~seen[own, to]
+        r, own, to = r[new], own[new], to[new]
+        _, first = np.unique(own.astype(np.int64) * len(table) + to, return_index=True)
+        r, own, to = r[first], own[first], to[first]
+        seen[own, to] = True
+        if not len(r):
+            continue
+        many = np.bincount(r, minlength=len(live))
+        col = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
+        more = np.full((len(live), int(many.max())), -1, np.int32)
+        s = np.full(more.shape, -np.inf, np.float32)
+        more[r, col] = to
+        s[r, col] = np.einsum("ij,ij->i", q[own], x[to])
+        alln, alls = np.concatenate([nodes[live], more], 1), np.concatenate([sims[live], s], 1)
+        alld = np.concatenate([done[live], more < 0], 1)
         top = np.argpartition(-alls, ef - 1, axis=1)[:, :ef]
-        nodes[live], sims[live], done[live] = (np.take_along_axis(v, top, 1) for v in (every, alls, alld))
-    by = np.argsort(-sims, axis=1, kind="stable")
-    nodes, sims = np.take_along_axis(nodes, by, 1), np.take_along_axis(sims, by, 1)
+        nodes[live], sims[live], done[live] = (np.take_along_axis(v, top, 1) for v in (alln, alls, alld))
+    nodes, sims = _by_similarity(nodes, sims, ef)
     return np.where(sims > -np.inf, nodes, -1), sims
 
 
-def search(x: np.ndarray, levels: list, q: np.ndarray, ef: int) -> np.ndarray:
-    """Places in x of each query's ef nearest (or fewer: -1), nearest first."""
-    start = np.repeat(levels[0][0][:1][None], len(q), 0)
-    for depth, (nodes, table) in enumerate(levels):
-        place = np.full(len(x), -1, np.int64)
-        place[nodes] = np.arange(len(nodes))
-        width = min(len(nodes), ef if depth == len(levels) - 1 else 8)
-        found, _ = walk(x, table, place, q, start, max(width, start.shape[1]))
-        start = found if depth == len(levels) - 1 else np.where(found[:, :4] >= 0, found[:, :4], found[:, :1])
-    return start
+def search(x: np.ndarray, levels: list[np.ndarray], q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x of each query's ef nearest (or fewer: -1), nearest first, and their similarities."""
+    start = np.zeros((len(q), 1), np.int32)
+    for table in levels[:-1]:
+        start = walk(x, table, q, start, min(len(table), 8))[0][:, :4]
+    return walk(x, levels[-1], q, start, max(ef, start.shape[1]))
+
+
+def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Unit centroids of unit vectors by spherical k-means; an empty cell keeps its centroid."""
+    c = sample[np.random.default_rng(seed).permutation(len(sample))[:cells]].copy()
+    for _ in range(rounds):
+        own = nearest_cells(sample, c, 1)[:, 0]
+        total = np.zeros(c.shape, np.float64)
+        np.add.at(total, own, sample)
+        norm = np.sqrt((total * total).sum(axis=1, keepdims=True))
+        c = np.where(norm > 0, total / np.where(norm > 0, norm, 1), c).astype(np.float32)
+    return c
+
+
+def nearest_cells(x: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
+    """The probes cells of largest inner product, in that order, ties to the lower number."""
+    out = [np.argsort(-(x[lo : lo + 4096] @ c.T), axis=1, kind="stable")[:, :probes] for lo in range(0, len(x), 4096)]
+    return np.concatenate(out) if out else np.empty((0, probes), np.int64)
+
+
+def needed_probes(sample: np.ndarray, c: np.ndarray, asked: np.ndarray, k: int, cover: float = COVER) -> int:
+    """The fewest nearest cells that hold a cover share of the k nearest in the sample of the vectors asked."""
+    s = asked @ sample.T
+    top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]  # with the vector itself
+    rank = np.argsort(nearest_cells(asked, c, len(c)), axis=1)
+    ranks = np.sort(np.take_along_axis(rank, nearest_cells(sample, c, 1)[:, 0][top], 1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(cover * len(ranks))))]) + 1
 
 
 def clean(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, int]:
@@ -163,7 +216,7 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def knn(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 8192, block: int = 512, ef: int = 320) -> DataFrame:
+def knn(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 16384, block: int = 2048, ef: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query holds, its k nearest found among all other rows.
 
     is_query is a Column over the id column named `id`.
@@ -181,40 +234,81 @@ def knn(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
     least = rows.groupBy("v", "id").agg(F.count("*").alias("c")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "c"))), lambda e: F.array_repeat(e["id"], F.least(e["c"], F.lit(k)).cast("int"))))
     vectors = cut(least.groupBy("v").agg(ids.alias("ids")))
-    shards = max(1, -(-row_count(vectors) // shard_rows))
+    total = row_count(vectors)
 
     def lifted(v: np.ndarray) -> np.ndarray:
         u = v / top
         return np.c_[u, np.sqrt(np.maximum(0, 1 - (u * u).sum(axis=1)))].astype(np.float32)
 
+    def flat(v: np.ndarray) -> np.ndarray:
+        return np.c_[v / top, np.zeros(len(v))].astype(np.float32)
+
+    # the sample: the vectors least by a hash, a set that does not depend on partitions
+    cells = min(MOST_CELLS, -(-total // shard_rows))
+    if cells > 1:
+        share = min(1.0, SAMPLE / total)
+        drawn = vectors.where(F.pmod(F.xxhash64("v", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64("v", F.lit("sample")), "v").limit(SAMPLE)
+        sample = _matrix(drawn.select("v").toArrow().column(0).combine_chunks(), dim)
+        mids = centroids(lifted(sample), cells)
+        probes = needed_probes(lifted(sample), mids, flat(sample[:CALIBRATION]), k)
+    else:
+        mids, probes = np.zeros((1, dim + 1), np.float32), 1
+
+    def to_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = nearest_cells(lifted(_matrix(b.column(0), dim)), mids, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=["v", "ids", "cell"])
+
+    placed = cut(vectors.mapInArrow(to_cell, "v array<double>, ids array<bigint>, cell int"))
+    sizes = np.zeros(cells, np.int64)
+    for cell, n in placed.groupBy("cell").count().collect():
+        sizes[cell] = n
+    parts = -(-sizes * 2 // (3 * shard_rows))  # shards of a cell; an empty one has none
+    first = np.cumsum(parts) - parts
+    spot = F.array(*[F.struct(F.lit(int(f)).alias("first"), F.lit(int(max(1, p))).alias("parts")) for f, p in zip(first, parts)])[F.col("cell")]
+    placed = placed.withColumn("shard", (spot["first"] + F.pmod(F.xxhash64("v"), spot["parts"])).cast("int"))
+
     def index(key, table):
         v, ids = _matrix(table.column("v").combine_chunks(), dim), table.column("ids").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: ids[i])
+        order = [order[i] for i in np.random.default_rng(1).permutation(len(order))]
         v, ids = v[order], [ids[i] for i in order]
         counts = np.array([len(i) for i in ids], np.int64)
-        levels = build(lifted(v))
-        flat = np.concatenate([np.r_[len(nodes), t.shape[1], nodes, t.ravel()].astype(np.int32) for nodes, t in levels])
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "counts": [counts.tobytes()], "ids": [np.array([i for own in ids for i in own], np.int64).tobytes()], "vectors": [v.tobytes()], "graph": [flat.tobytes()]})
+        graph = np.concatenate([np.r_[len(t), t.ravel()].astype(np.int32) for t in build(lifted(v))])
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "counts": [counts.tobytes()], "ids": [np.array([i for own in ids for i in own], np.int64).tobytes()], "vectors": [v.tobytes()], "graph": [graph.tobytes()]})
 
-    graphs = vectors.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(index, "shard int, counts binary, ids binary, vectors binary, graph binary")
-    blocks = max(1, -(-row_count(rows.where(is_query)) // block))
+    graphs = placed.drop("cell").groupBy("shard").applyInArrow(index, "shard int, counts binary, ids binary, vectors binary, graph binary")
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = nearest_cells(flat(_matrix(b.column(1), dim)), mids, probes)
+            many = parts[near].ravel()
+            row = np.repeat(np.repeat(np.arange(len(near)), probes), many)
+            shard = np.repeat(first[near].ravel(), many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            for lo in range(0, len(row), 8192):
+                pick = pa.array(row[lo : lo + 8192])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(shard[lo : lo + 8192], pa.int32())], names=["id", "v", "shard"])
+
+    # blocks of queries of a shard: about `block` each, however many a shard is asked
+    routed = rows.where(is_query).select("id", "v").mapInArrow(route, "id bigint, v array<double>, shard int")
+    asks = routed.groupBy("shard").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    routed = routed.join(asks, "shard").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
 
     def pack(key, table):
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "qids": [table.column("id").to_numpy().tobytes()], "q": [_matrix(table.column("v").combine_chunks(), dim).tobytes()]})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "qids": [table.column("id").to_numpy().tobytes()], "q": [_matrix(table.column("v").combine_chunks(), dim).tobytes()]})
 
-    asked = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, "block int, qids binary, q binary")
-    pairs = asked.select("qids", "q", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = routed.select("shard", "block", "id", "v").groupBy("shard", "block").applyInArrow(pack, "shard int, qids binary, q binary")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for qids, q, counts, ids, vectors, graph in zip(*(b.column(i) for i in range(6))):
                 qids, counts, ids = (np.frombuffer(v.as_py(), np.int64) for v in (qids, counts, ids))
                 q, v = (np.frombuffer(w.as_py(), np.float64).reshape(-1, dim) for w in (q, vectors))
-                flat, levels, at = np.frombuffer(graph.as_py(), np.int32), [], 0
-                while at < len(flat):
-                    size, width = int(flat[at]), int(flat[at + 1])
-                    levels.append((flat[at + 2 : at + 2 + size], flat[at + 2 + size : at + 2 + size + size * width].reshape(size, width)))
-                    at += 2 + size + size * width
+                stored, levels, at = np.frombuffer(graph.as_py(), np.int32), [], 0
+                while at < len(stored):
+                    size = int(stored[at])
+                    levels.append(stored[at + 1 : at + 1 + size * WIDTH].reshape(size, WIDTH))
+                    at += 1 + size * WIDTH
                 x = lifted(v)
                 # a vector's ids in a row of `own` (-1: none), its least id and the least one after
                 own = np.full((len(v), counts.max()), -1, np.int64)
@@ -222,10 +316,9 @@ def knn(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
                 own[has] = ids
                 other = has & (own != own[:, :1])
                 second, alone = own[np.arange(len(v)), other.argmax(axis=1)], ~other.any(axis=1)
-                flatq = np.c_[q, np.zeros(len(q))].astype(np.float32)
                 for lo in range(0, len(q), 256):
                     asker = qids[lo : lo + 256, None]
-                    found = search(x, levels, flatq[lo : lo + 256], min(ef, len(x)))
+                    found = search(x, levels, flat(q[lo : lo + 256]), min(ef, len(x)))[0]
                     self_ = own[found, 0] == asker
                     ok = (found >= 0) & ~(self_ & alone[found])
                     score = np.where(ok, np.einsum("nk,nwk->nw", q[lo : lo + 256], v[np.maximum(found, 0)]), -np.inf)
@@ -241,7 +334,7 @@ def knn(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
                     pick = by[row, col]
                     yield pa.RecordBatch.from_arrays([pa.array(qids[lo + row]), pa.array(every[row, pick]), pa.array(score[row, pick])], names=["query_id", "vec_id", "score"])
 
-    found = pairs.join(graphs, "shard").select("qids", "q", "counts", "ids", "vectors", "graph").repartition(max(1, shards * blocks)).mapInArrow(answer, schema)
+    found = asked.join(graphs, "shard").select("qids", "q", "counts", "ids", "vectors", "graph").mapInArrow(answer, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

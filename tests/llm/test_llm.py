@@ -344,6 +344,54 @@ def test_knn_recall(spark):
     assert len(got) == 75 and hit >= 0.97 * 1500
 
 
+def _recall(spark, v: np.ndarray, **how) -> float:
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in hnsw.knn(df, F.col("id") % 20 == 0, **how).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, len(v), 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    return hit / (20 * len(range(0, len(v), 20)))
+
+
+@pytest.mark.parametrize("clumps", [0, 40])
+def test_knn_routing_recall(spark, clumps):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(6000, 32))
+    if clumps:
+        v = v * 0.2 + rng.normal(size=(clumps, 32))[rng.zipf(1.5, 6000) % clumps]
+    assert _recall(spark, v / np.linalg.norm(v, axis=1, keepdims=True), shard_rows=500, block=64) >= 0.95
+
+
+def test_probes_follow_the_structure_of_the_vectors():
+    rng = np.random.default_rng(4)
+    plain = rng.normal(size=(4000, 32))
+    clumped = plain * 0.1 + rng.normal(size=(100, 32))[rng.integers(0, 100, 4000)]
+    need = []
+    for v in (plain, clumped):
+        x = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+        mids = hnsw.centroids(x, 40)
+        need.append(hnsw.needed_probes(x, mids, x[:200], 20))
+        ranks = np.argsort(hnsw.nearest_cells(x[:200], mids, 40), axis=1)
+        top = np.argsort(-(x[:200] @ x.T), axis=1)[:, :20]
+        assert (np.take_along_axis(ranks, hnsw.nearest_cells(x, mids, 1)[:, 0][top], 1) < need[-1]).mean() >= 0.97
+    assert need[1] <= 6 < need[0] <= 40
+
+
+def test_graph_is_reachable_in_clumps():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(20, 16))[rng.integers(0, 20, 3000)] + 0.01 * rng.normal(size=(3000, 16))
+    x = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    levels = hnsw.build(x)
+    assert all(t.shape == (n, hnsw.WIDTH) and t.max() < n for t, n in zip(levels, (len(t) for t in levels)))
+    found = hnsw.search(x, levels, x[:300], 256)[0][:, :20]
+    want = np.argsort(-(x[:300] @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, want)]) >= 0.95
+
+
 def test_knn_large_group_of_equal_vectors(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(1500, 8)).astype(np.float32).astype(float)
