@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import fold
+from lattix.llm.common import fold, is_fold
 from lattix.session import cut
 
 VOCAB, CLASSES, SIZE, STEPS = 1024, 32, 16, 16
@@ -323,4 +323,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     from lattix.session import read_table
 
     out = score_texts(read_table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
-    return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", is_fold("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

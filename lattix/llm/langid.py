@@ -12,7 +12,8 @@ The fit uses at most about `sample_rows` labelled rows, drawn by a hash of the i
 shares a language; each reaches the driver as a bit set of DIM/8 bytes whatever
 its length.  Scoring reads every whole text.
 
-Defined results: null text or no letter: `und`, score 0; no labelled training row: `und`, score 0 for all.
+Defined results: null text or no letter: `und`, score 0; no labelled training row: `und`, score 0 for all;
+a null id is neither learned from nor held out.
 score = (1 + the winning regression's value) / 2, held to 0..1.
 """
 
@@ -26,15 +27,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import fold
+from lattix.llm.common import fold, is_fold, lean, row_count
 
 DIM, GRAMS = 1 << 15, 4
-LETTERS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[^\W\d_]+")
+MAPPED = 1 << 16
+
+
+def letters(text: str) -> list[str]:
+    """Runs of letters, which are what str.isalpha says (superscripts, fractions and number signs are none)."""
+    found = []
+    for run in WORDS.findall(text):
+        found += [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+    return found
 
 
 def presence(text: str | None) -> np.ndarray:
     """Sorted slots of the n-grams that occur in the whole text; empty if it has no letter."""
-    found = LETTERS.findall(text.lower()) if text else []
+    found = letters(text.lower()) if text else []
     if not found:
         return np.empty(0, np.int64)
     flags = np.zeros(DIM, bool)
@@ -98,12 +108,14 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int = 256, ridge: float =
 def train(labelled: DataFrame, key: str, text: str, lang: str, sample_rows: int = 2400, landmarks: int = 256) -> Model | None:
     """Fits on at most about sample_rows rows of labelled (null languages take no part)."""
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where(F.col("l").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}
-    if not counts:
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
+    langs = row_count(counts)
+    if not langs:
         return None
-    share = sample_rows / len(counts)
-    odds = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, share / n))])
-    drawn = rows.where((F.pmod(F.xxhash64("k", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)) < odds[F.col("l")])
+    # however many values a dirty column has, about sample_rows are drawn
+    odds = F.least(F.lit(1.0), F.lit(sample_rows / langs) / F.col("n"))
+    draw = F.pmod(F.xxhash64("k", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.join(F.broadcast(counts) if langs <= MAPPED else counts, "l").where(draw < odds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,25 +139,24 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     at = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [presence(t.as_py()) for t in b.column(at)] if model else [np.empty(0, int)] * len(b)
-            best, score = np.zeros(len(b), int), np.zeros(len(b))
-            for lo in range(0, len(b), 256) if model else ():
-                v = model.values(sets[lo : lo + 256])
-                best[lo : lo + 256] = v.argmax(axis=1)
-                score[lo : lo + 256] = np.clip((1 + v.max(axis=1)) / 2, 0, 1)
-            some = [len(s) > 0 for s in sets]
-            pred = [model.langs[k] if ok else "und" for k, ok in zip(best, some)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(np.where(some, score, 0.0))], names=[*keep, "lang_pred", "score"])
+        for batch in batches:
+            for lo in range(0, len(batch), 256):  # sets of few texts at a time are held
+                b = batch.slice(lo, 256)
+                sets = [presence(t.as_py()) for t in b.column(at)] if model else [np.empty(0, int)] * len(b)
+                v = model.values(sets) if model else np.full((len(b), 1), -1.0)
+                some = [len(s) > 0 for s in sets]
+                pred = [model.langs[k] if ok else "und" for k, ok in zip(v.argmax(axis=1), some)]
+                score = np.where(some, np.clip((1 + v.max(axis=1)) / 2, 0, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Fits on rows whose crc32(doc_id) mod 5 is not 0 and scores all; returns (doc_id, held_out, lang_pred, score)."""
     model = train(docs.where(fold(doc_id, 5) != 0), doc_id, text, lang)
     out = predict(docs.select(F.col(doc_id), F.col(text).cast("string").alias(text)), model, text)
-    return out.select(doc_id, (fold(doc_id, 5) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select(doc_id, is_fold(doc_id, 5, 0).alias("held_out"), "lang_pred", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import fold, row_count
+from lattix.llm.common import fold, is_fold, row_count
 from lattix.session import cut
 
 STATS = (
@@ -180,7 +180,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id:
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull())
     rows = stats.where(fold("doc_id", 5) != 0).join(known, "doc_id")
     out = score(stats, train(cut(rows)))
-    return out.select(F.col("doc_id").alias(doc_id), (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return out.select(F.col("doc_id").alias(doc_id), is_fold("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
