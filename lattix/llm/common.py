@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -64,12 +65,15 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes the files of tables made by `stored`, once nothing reads them any more."""
+    """Deletes the files of tables made by `stored`, once nothing reads them any more, and has the driver collect its garbage: the
+    shuffle files and broadcasts of jobs that are done are deleted when their plans are collected, which may else take long."""
     for t in tables:
         for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             name = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             if name.getName().startswith("stored-"):
                 name.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def join_dealt(rows: DataFrame, side: DataFrame, keys: list[str], how: str, many: str, total: int, parts: int = 1000) -> DataFrame:

@@ -548,6 +548,62 @@ def test_lm_gradient_and_state():
     assert np.exp(net.output(np.repeat(h[:1], gru.VOCAB, 0), np.arange(gru.VOCAB))[0]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_weight_gradients_through_time():
+    rng = np.random.default_rng(2)
+    net = gru.Net([w.astype(np.float64) + 0.05 * rng.normal(size=w.shape) for w in gru.Net.fresh().w])
+    x, y = rng.integers(0, 40, (7, 3)), rng.integers(0, gru.VOCAB, (7, 3))
+    real = np.ones((7, 3))
+    real[5:, 2] = 0
+    h = rng.normal(size=(3, gru.SIZE)) * 0.3
+    grads, entries, _, loss = net.gradients(x, y, h, real)
+    step = 1e-5
+    for k, g in enumerate(grads):
+        for flat in np.argsort(-np.abs(g).ravel())[[0, 3, 20]]:  # places with a gradient
+            at = list(np.unravel_index(flat, g.shape))
+            if k == 0:
+                at[0] = entries[at[0]]
+            at = tuple(at)
+            old = net.w[k][at]
+            net.w[k][at] = old + step
+            up = net.gradients(x, y, h, real)[3]
+            net.w[k][at] = old - step
+            down = net.gradients(x, y, h, real)[3]
+            net.w[k][at] = old
+            assert g.ravel()[flat] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-5), (k, at)
+
+
+def test_lm_learns_every_token_once(monkeypatch):
+    seen = []
+    inner = gru.Net.gradients
+    monkeypatch.setattr(gru.Net, "gradients", lambda self, x, y, h, real: seen.extend(y[real > 0].tolist()) or inner(self, x, y, h, real))
+    for n in (2, 3, 40, 1001):
+        seen.clear()
+        assert gru.Net.fresh().learn(np.arange(n)) == n - 1 and sorted(seen) == list(range(1, n))
+
+
+def test_lm_beats_the_unigram_and_a_bigram():
+    """On held-out text whose words depend on the words before: better than add-one unigrams and than an interpolated bigram."""
+    rng = np.random.default_rng(3)
+    n, v = 120_000, 40
+    nexts = rng.integers(2, v, (v, v, 2))
+    ids = np.zeros(n, np.int64)
+    for i in range(2, n):  # the second last word counts as well, which a bigram cannot see
+        ids[i] = nexts[ids[i - 2], ids[i - 1] % 2, int(rng.random() < 0.2)] if i % 30 else gru.END
+    train, held = ids[: n * 5 // 6], ids[n * 5 // 6 :]
+    counts = np.bincount(train, minlength=gru.VOCAB)
+    net = gru.Net.fresh(counts)
+    untrained = net.score([held[:-1]])[0]
+    for _ in range(6):
+        net.learn(train, streams=32, rate=0.1)
+    one = (counts + 1) / (counts.sum() + v + 1)
+    two = np.zeros((v, v))
+    np.add.at(two, (train[:-1], train[1:]), 1)
+    mixed = 0.9 * two / np.maximum(two.sum(axis=1, keepdims=True), 1) + 0.1 * one[:v]
+    unigram, bigram = np.log(one[held]).sum(), np.log(mixed[np.r_[gru.END, held[:-1]], held]).sum()
+    got = net.score([held[:-1]])[0]
+    assert untrained == pytest.approx(unigram, rel=0.02) and got > 0.95 * bigram > 0.95 * unigram
+
+
 def test_lm_learns():
     net = gru.Net.fresh()
     ids = np.tile(np.array([5, 9, 700, 33, 0]), 3000)
