@@ -194,11 +194,11 @@ class Net:
 
     def learn(self, ids: np.ndarray, streams: int = 256, rate: float = 0.3) -> int:
         """Truncated backpropagation over one token sequence, dealt to parallel streams; every token after the first is learned once
-        (Adagrad on the mean gradient).  Short sequences have fewer streams, of two windows at least."""
+        (Adagrad on the mean gradient).  Short sequences have fewer streams, of 64 windows."""
         n = len(ids) - 1
         if n < 1:
             return 0
-        streams = max(1, min(streams, n // (2 * STEPS)))
+        streams = max(1, min(streams, n // (64 * STEPS)))
         length = -(-n // streams)
         place = np.arange(length)[:, None] + length * np.arange(streams)
         real = (place < n).astype(np.float32)
@@ -221,7 +221,7 @@ class Net:
                 w[at] -= g
         return n
 
-    def score(self, texts: list[np.ndarray], chunk: int = 1 << 17) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], chunk: int = 1 << 14) -> np.ndarray:
         """Natural log probability of each text (token ids without the end), the end included."""
         lens = np.array([len(t) + 1 for t in texts])
         order = np.argsort(-lens, kind="stable")
@@ -265,7 +265,7 @@ def _ids(texts: list[list[bytes]], known: dict[bytes, int]) -> list[np.ndarray]:
     return [np.fromiter(map(known.get, t, repeat(OTHER)), np.int64, len(t)) for t in texts]
 
 
-def train(texts: DataFrame, known: dict[bytes, int], tokens: int, counts: np.ndarray | None = None, rounds: int = 3, tokens_a_task: int = 1_000_000, most_tasks: int = 256) -> Net:
+def train(texts: DataFrame, known: dict[bytes, int], tokens: int, counts: np.ndarray | None = None, rounds: int = 3, tokens_a_task: int = 4_000_000, most_tasks: int = 256) -> Net:
     """texts: (doc, text); tokens: about how many tokens it has.  Rounds of local training and averaging."""
     tasks = int(max(1, min(most_tasks, tokens // tokens_a_task)))
 
@@ -286,7 +286,7 @@ def train(texts: DataFrame, known: dict[bytes, int], tokens: int, counts: np.nda
                 for v in b.column(0):
                     held.append(np.frombuffer(v.as_py(), np.int16))
                     size += len(held[-1])
-                    if size > 500_000:
+                    if size > 1_000_000:
                         seen += own.learn(np.concatenate(held).astype(np.int64), rate=RATE / (1 + now_turn))
                         held, size = [np.zeros(1, np.int16)], 1
             seen += own.learn(np.concatenate(held).astype(np.int64), rate=RATE / (1 + now_turn))
