@@ -277,7 +277,9 @@ def knn(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
         graph = np.concatenate([np.r_[len(t), t.ravel()].astype(np.int32) for t in build(lifted(v))])
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "counts": [counts.tobytes()], "ids": [np.array([i for own in ids for i in own], np.int64).tobytes()], "vectors": [v.tobytes()], "graph": [graph.tobytes()]})
 
-    graphs = placed.drop("cell").groupBy("shard").applyInArrow(index, "shard int, counts binary, ids binary, vectors binary, graph binary")
+    # as many partitions as shards: sizes in bytes, by which partitions would be merged, say nothing about the work
+    most = max(1, int(parts.sum()))
+    graphs = placed.drop("cell").repartition(most, "shard").groupBy("shard").applyInArrow(index, "shard int, counts binary, ids binary, vectors binary, graph binary")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -334,7 +336,7 @@ def knn(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
                     pick = by[row, col]
                     yield pa.RecordBatch.from_arrays([pa.array(qids[lo + row]), pa.array(every[row, pick]), pa.array(score[row, pick])], names=["query_id", "vec_id", "score"])
 
-    found = asked.join(graphs, "shard").select("qids", "q", "counts", "ids", "vectors", "graph").mapInArrow(answer, schema)
+    found = asked.repartition(most, "shard").join(graphs.repartition(most, "shard"), "shard").select("qids", "q", "counts", "ids", "vectors", "graph").mapInArrow(answer, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

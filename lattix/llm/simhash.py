@@ -4,8 +4,8 @@ Fingerprints: words of a text (A-Z folded), shingles of `shingle` words, XXH64
 (seed 42) of each; a bit is set where over half of the hashes set it.
 
 Links: fingerprints at `radius` (2) or fewer differing bits.  Equal fingerprints
-are one entry.  Entries are dealt by three rotations so that each of three bit
-blocks leads once: two codes within two bits agree on a whole block, so they
+are one entry.  Entries are dealt by radius + 1 rotations so that each of as many bit
+blocks leads once: two codes within the radius agree on a whole block, so they
 meet under some (rotation, block value).  A key with over `limit` entries is dealt
 again by blocks of its remaining bits, and again; what is left then spans too
 few bits to be large, so no group is unbounded and nothing is dropped.  Inside a key,
@@ -33,7 +33,6 @@ from lattix.session import cut
 
 LIMIT = 4096
 FANOUT = 16
-BLOCKS = ((0, 22), (22, 21), (43, 21))  # (first bit from the top, width)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -55,6 +54,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > n).view(">u8")[0])
 
 
+def majority(h: np.ndarray) -> int:
+    """Fingerprint of shingle hashes, repeats included: a bit is set where over half of them set it (none: zero)."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65536):
+        counts += np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h)).view(">u8")[0])
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp bigint): one row for each input row."""
 
@@ -166,25 +173,30 @@ def _dealt(rows: DataFrame, bits: list[tuple[str, object, object]]) -> DataFrame
     return rows.select("fp", F.explode_outer(F.array(*pieces)).alias("x")).select("fp", "x.key", "x.free")
 
 
-def _masks(level: int) -> list[tuple[str, object, object]]:
+def _masks(level: int, parts: int = 3) -> list[tuple[str, object, object]]:
     def signed(x: int) -> int:
         return x - (1 << 64) if x >> 63 else x
 
     if level == 0:
-        masks = [((1 << w) - 1) << (64 - s - w) for s, w in BLOCKS]
+        stops = [-(-64 * i // parts) for i in range(parts + 1)]  # blocks of about equal width, from the top
+        masks = [((1 << (b - a)) - 1) << (64 - b) for a, b in zip(stops, stops[1:])]
         return [(f"0.{i}", F.lit(signed(m)).cast("bigint"), None) for i, m in enumerate(masks)]
-    # every third (or ninth) bit: whatever block is gone, the rest splits into three about equal parts
-    step = 1 if level == 1 else 3
-    masks = [sum(1 << b for b in range(64) if (b // step) % 3 == r) for r in range(3)]
+    # every parts-th (or its square's) bit: whatever block is gone, the rest splits into about equal parts
+    step = parts ** (level - 1)
+    masks = [sum(1 << b for b in range(64) if (b // step) % parts == r) for r in range(parts)]
     return [(f"{level}.{i}", F.lit(signed(m)).cast("bigint").bitwiseAND(F.col("free")), None) for i, m in enumerate(masks)]
 
 
 def links(fps: DataFrame, radius: int = 2, limit: int = LIMIT) -> DataFrame:
-    """(src, dst) edges between distinct fingerprints (column fp) whose closure is that of all links within radius <= 2."""
+    """(src, dst) edges between distinct fingerprints (column fp) whose closure is that of all links within radius.
+
+    Codes within radius agree on a whole one of radius + 1 blocks, whatever the radius; a larger one has narrower
+    blocks and so larger keys.
+    """
     rows = fps.select("fp").distinct().withColumn("key", F.lit(0).cast("bigint")).withColumn("free", F.lit(-1).cast("bigint"))
     parts = []
     for level in range(3):
-        rows = _dealt(rows, _masks(level))
+        rows = _dealt(rows, _masks(level, radius + 1))
         sizes = rows.groupBy("key").count()
         if level == 2:
             parts.append(rows.join(sizes.where("count > 1").select("key"), "key", "left_semi"))
