@@ -1,13 +1,15 @@
 """A training-corpus pipeline over the documents table, in five stages.
 
 language    drops texts without a letter, and those no language's regression claims (score below MIN_SCORE)
-near_dedup  keeps one document (the least id) of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more
+near_dedup  keeps one document (the least id) of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more:
+            SimHash fingerprints over the Gray-order index propose links, an exact join of shingles finds those beyond their radius
 decontaminate  drops documents that hold a window of a benchmark item
 pii         replaces personal data in texts by its kind
 encode      gives the piece ids of each text, and the text decoded from them
 
-Each stage is written as Parquet in the shared folder and read again for the next.  Rows of equal doc_id
-are one document: near_dedup keeps the row whose text is first.  ORACLE_SQL is None: the stages are not
+Each stage is written as Parquet in the shared folder and read again for the next.  near_dedup
+works on rows: of a component's rows with the least doc_id it keeps the one of least hash over all columns; a row without doc_id stays
+where no other of its component has one; rows of equal doc_id but different texts are different documents.  decontaminate judges each text by itself.  ORACLE_SQL is None: the stages are not
 expressible in SQL; tests run them against brute force.
 """
 
@@ -35,15 +37,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    keep = neardup.components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return neardup.kept(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    bad = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    # by text, so that rows without an id, or of an equal one, are judged each by its own text
+    docs = docs.select(*COLUMNS).withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+    bad = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), doc_id="key").where("n_hit > 0").select("key")
+    return docs.join(bad, "key", "left_anti").select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
