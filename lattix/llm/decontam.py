@@ -175,7 +175,8 @@ WITH dw AS (
 ), itemhit AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hit GROUP BY doc_id
 )
-SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+SELECT d.doc_id, d.n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN wordhit USING (doc_id) LEFT JOIN itemhit USING (doc_id)
+FROM (SELECT doc_id, CAST(max(len(w)) AS BIGINT) AS n_words FROM dw GROUP BY doc_id) d
+LEFT JOIN wordhit ON d.doc_id IS NOT DISTINCT FROM wordhit.doc_id LEFT JOIN itemhit ON d.doc_id IS NOT DISTINCT FROM itemhit.doc_id
 """

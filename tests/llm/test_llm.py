@@ -754,6 +754,25 @@ def test_decontaminate_stage_judges_rows_by_their_text(spark, tmp_path):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted([("None", b), ("3", b), ("4", "None")])
 
 
+def test_decontaminate_query_equals_its_sql_on_repeated_and_null_ids(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a + " " + c), (None, b), (None, c), (2, None), (3, ""), (4, c), (4, c)]
+    items = [(1, " ".join(a.split()[5:25])), (2, " ".join(b.split()[:12])), (3, "tiny " + c.split()[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(str, ((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.query(spark, str(tmp_path)).collect())))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    cur = con.execute(decontam.SQL)
+    names = [d[0] for d in cur.description]
+    want = sorted(str(tuple(dict(zip(names, r))[k] for k in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))) for r in cur.fetchall())
+    assert got == want and len(got) == 5
+
+
 def test_digest_of_query_columns(spark, docs):
     spans = [(k, a, b) for k, a, b, _ in pii.find("a@b.cc 10.0.0.1")]
     assert hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest() == hashlib.sha256(b"email:0:6,ip:7:15").hexdigest()
