@@ -218,7 +218,9 @@ class Compiler:
             self.seed += 2
             if f == "unif_dist":
                 return calculators.uniform(F.col(self.key), self.seed)
-            mean, sd = (float(a.value) for a in args[1:3]) if len(args) == 3 else (0.0, 1.0)
+            mean, sd = (self.constant(a) for a in args[1:3]) if len(args) == 3 else (0.0, 1.0)
+            if sd < 0:
+                raise ExpressionError("a standard deviation of 0 or more is needed")
             return calculators.normal(F.col(self.key), self.seed, mean, sd)
         if f in ORDERED:
             from lattix.operators import calculators
@@ -255,7 +257,11 @@ class Compiler:
 def evaluate(df: DataFrame, key: str, text: str, into: str, weights: dict[str, DataFrame] | None = None) -> DataFrame:
     """df with the expression's value as a column (non-finite results are undefined)."""
     c = Compiler(df, key, weights or {})
-    value = c.column(Parser(text).parse())
+    tree = Parser(text).parse()
+    try:
+        value = c.column(tree)
+    except (IndexError, TypeError) as e:
+        raise ExpressionError(f"wrong number or kind of arguments in {text!r}") from e
     return c.df.withColumn("__value", finite(value)).select(*df.columns, F.col("__value").alias(into))
 
 

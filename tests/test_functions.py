@@ -46,6 +46,13 @@ def test_errors(five, text):
         evaluate(five, "id", text, "v")
 
 
+def test_norm_dist_constants_and_arity(five):
+    assert all(v is not None for v in column(five, "norm_dist(A,-1,2)"))
+    for text in ("norm_dist(A,0,-1)", "sqrt()", "pow(2)"):
+        with pytest.raises(ExpressionError):
+            evaluate(five, "id", text, "v")
+
+
 def test_undefined_stays_undefined(spark):
     df = spark.createDataFrame([(1, None), (2, 4.0)], "id long, A double")
     assert column(df, "A + 1") == [None, 5.0]
