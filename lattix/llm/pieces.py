@@ -6,9 +6,14 @@ character, so every segmentation is cut there and words are solved one by one
 (and remembered).  A giant document is dealt into chunks of `chunk` characters,
 cut anywhere.  The state at a chunk's border is how many characters before it the
 last cut lies; each chunk gives the matrix of best scores from entry state to exit
-state, matrices are combined associatively under (max, +), and the best states at all
-borders follow from the prefix products.  Then each chunk, between its two cuts, is traced
-back on its own.
+state, and matrices are combined associatively under (max, +): in pairs within blocks of FAN chunks, then
+pairwise over the blocks of a document, so that its borders follow block by block, and those inside a
+block, from its two, in parallel.  Then each chunk, between its two cuts, is traced back on its own.
+
+Ties: of paths of equal weight the one wins whose last piece is shortest, then the one before it, and so on.  The choice
+at a place needs only the weights up to it, so words and spans between two cuts of the winner give the same
+pieces alone as within the text.  Across chunks a matrix carries, beside the weights, the order of its entry states by this
+rule for each exit state; products keep both.  Ids therefore do not depend on `chunk` or on the path taken.
 
 Weights: the vocabulary is a BPE file whose scores are merge ranks, so the unigram
 weights come from Zipf's law over the rank, as whole numbers (weight 2^20 = one nat): sums
@@ -37,6 +42,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from lattix.session import cut
 
 CHUNK = 1 << 15
+FAN = 32
 NEG = -(1 << 60)
 SCALE = 1 << 20
 UNIT = re.compile(r" +[^ ]*")
@@ -81,13 +87,13 @@ class Pieces:
         self.tables: dict[int, tuple] = {}
 
     def edges_to(self, u: str, e: int, lo: int) -> Iterator[tuple[int, int]]:
-        """(start, weight) of the pieces u[start:e] with start >= lo."""
+        """(start, weight) of the pieces u[start:e] with start >= lo, shortest first."""
         get = self.weight.get
-        for s in range(max(lo, e - self.longest), e - 1):
-            if (w := get(u[s:e])) is not None:
-                yield s, w
         if e - 1 >= lo:
             yield e - 1, get(u[e - 1 : e], self.unknown)
+        for s in range(e - 2, max(lo, e - self.longest) - 1, -1):
+            if (w := get(u[s:e])) is not None:
+                yield s, w
 
     def solve(self, u: str) -> tuple[int, ...]:
         n = len(u)
@@ -96,7 +102,7 @@ class Pieces:
         for e in range(1, n + 1):
             s = e - 1
             top, at = best[s] + get(u[s:e], unknown), s
-            for s in range(max(0, e - longest), e - 1):
+            for s in range(e - 2, max(0, e - longest) - 1, -1):  # shortest first: it wins ties
                 w = get(u[s:e])
                 if w is not None and best[s] + w > top:
                     top, at = best[s] + w, s
@@ -212,42 +218,49 @@ class Pieces:
         return sum(by_id[i] for i in ids if i in by_id) + self.unknown * len(runs)
 
     def transfer(self, local: str, context: int) -> np.ndarray:
-        """States x states best scores of a chunk: local[context:] with the context before it.
+        """2 x states x states: best scores of a chunk, local[context:] with the context before it, and the order of entries.
 
-        Entry s: the last cut lies s characters before the border; exit t likewise before the end.
+        Entry s: the last cut lies s characters before the border; exit t likewise before the end.  An exit before the
+        border is an entry that no cut of the chunk followed.
         """
         size, end = self.longest, len(local)
-        best = np.full((end + 1, size), NEG, np.int64)
+        best, order = np.full((end + 1, size), NEG, np.int64), np.zeros((end + 1, size), np.int64)
         best[context, 0] = 0
         for e in range(context + 1, end + 1):
-            row = best[e]
+            row, key = best[e], np.full(size, size * (size + 1), np.int64)
             for s, w in self.edges_to(local, e, max(0, context - size + 1)):
                 if s >= context:
-                    np.maximum(row, best[s] + w, out=row)
-                else:
-                    row[context - s] = max(row[context - s], w)
-        out = np.full((size, size), NEG, np.int64)
-        for t in range(min(size, end - context + 1)):
-            out[:, t] = best[end - t]
-        return np.maximum(out, NEG)
+                    got = best[s] + w
+                    better = got > row
+                    row[better], key[better] = got[better], (e - s) * size + order[s][better]
+                elif w > row[context - s]:
+                    row[context - s], key[context - s] = w, (e - s) * size
+            order[e] = _ranks(key)
+        out = np.zeros((2, size, size), np.int64)
+        out[0] = NEG
+        for t in range(size):
+            if end - t >= context:
+                out[0, :, t], out[1, :, t] = best[end - t], order[end - t]
+            else:
+                out[0, context - end + t, t] = 0
+        return _with_order(out[0], out[1])
 
     def chunk_matrix(self, local: str, context: int) -> np.ndarray:
         """transfer(), but the words between the chunk's first and last forced cut are solved word by word."""
         size = self.longest
         cuts = [m.start() for m in re.finditer(r"(?<=[^ ]) ", local) if m.start() >= context]
+        cuts = [c for c in cuts if len(local) - c >= size] if cuts and len(local) - cuts[-1] < size else cuts  # exit states reach back over the last cut
         if not cuts:
             return self.transfer(local, context)
         lo, hi = cuts[0], cuts[-1]
-        if len(local) - hi < size:  # exit states reach back over the last cut
-            inner = [c for c in cuts if len(local) - c >= size]
-            if not inner:
-                return self.transfer(local, context)
-            hi = inner[-1]
-        into = self.transfer(local[:lo], context)[:, 0] if lo > context else np.where(np.arange(size) == 0, 0, NEG)
-        middle = self.path_weight(local[lo:hi])
-        out_of = self.transfer(local[hi:], 0)[0]
-        got = into[:, None] + middle + out_of[None, :]
-        return np.where((into[:, None] <= NEG // 2) | (out_of[None, :] <= NEG // 2), NEG, got)
+        if lo > context:
+            into, order = self.transfer(local[:lo], context)[:, :, 0]
+        else:
+            into, order = np.where(np.arange(size) == 0, 0, NEG), np.zeros(size, np.int64)
+        out_of = self.transfer(local[hi:], 0)[0, 0]
+        got = into[:, None] + self.path_weight(local[lo:hi]) + out_of[None, :]
+        got = np.where((into[:, None] <= NEG // 2) | (out_of[None, :] <= NEG // 2), NEG, got)
+        return _with_order(got, order[:, None])
 
     def path_weight(self, t: str) -> int:
         """Weight of the best path of whole units."""
@@ -263,21 +276,41 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Places of the values of each column in its order, equal values in the order of rows."""
+    return np.argsort(np.argsort(keys, axis=0, kind="stable"), axis=0, kind="stable")
+
+
+def _with_order(scores: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A chunk's matrix of scores with the order of its entries; those that lead nowhere come last."""
+    return np.stack([np.maximum(scores, NEG), _ranks(np.where(scores <= NEG // 2, keys.max() + 1, keys))])
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product; associative."""
-    return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEG)
+    """Max-plus product of two chunks' matrices, with the order of entries; associative."""
+    size = a.shape[1]
+    through = a[0][:, :, None] + b[0][None, :, :]
+    top = through.max(axis=1)
+    mid = np.where(through == top[:, None, :], b[1][None, :, :], size).argmin(axis=1)
+    return _with_order(top, b[1][mid, np.arange(size)[None, :]] * size + np.take_along_axis(a[1], mid, axis=1))
+
 
+def product(mats: list[np.ndarray]) -> np.ndarray:
+    """Product of neighbours' matrices, in pairs."""
+    while len(mats) > 1:
+        mats = [combine(*mats[k : k + 2]) if k + 1 < len(mats) else mats[k] for k in range(0, len(mats), 2)]
+    return mats[0]
 
-def border_states(mats: list[np.ndarray]) -> list[int]:
-    """The best state at each border: entry of the first chunk (0), ..., exit of the last (0)."""
-    size = len(mats[0])
-    ahead = [np.where(np.arange(size) == 0, 0, NEG)]
-    for m in mats:
-        ahead.append(np.maximum((ahead[-1][:, None] + m).max(axis=0), NEG))
-    states = [0]
-    for k in range(len(mats) - 1, -1, -1):
-        states.append(int((ahead[k] + mats[k][:, states[-1]]).argmax()))
-    return states[::-1]
+
+def border_states(mats: list[np.ndarray], enter: int = 0, leave: int = 0) -> list[int]:
+    """The winner's state at each border: entry of the first chunk, ..., exit of the last; these two are given."""
+    if len(mats) == 1:
+        return [enter, leave]
+    half = len(mats) // 2
+    left, right = product(mats[:half]), product(mats[half:])
+    through = left[0][enter] + right[0][:, leave]
+    mid = int(np.where(through == through.max(), right[1][:, leave], len(through)).argmin())
+    return border_states(mats[:half], enter, mid)[:-1] + border_states(mats[half:], mid, leave)
 
 
 def chunks(t: str, chunk: int, size: int) -> list[tuple[int, str, int]]:
@@ -331,12 +364,28 @@ def encode(docs: DataFrame, text: str = "text", ids_as: str = "ids", model: str
             m = [p.chunk_matrix(t.as_py(), c.as_py()).tobytes() for t, c in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m, pa.binary())], names=["key", "k", "m"])
 
+    def read(m) -> list[np.ndarray]:
+        size = load(path).longest
+        return [np.frombuffer(x, np.int64).reshape(2, size, size) for x in m]
+
+    def block(group):
+        import pandas as pd
+
+        group = group.sort_values("k")
+        return pd.DataFrame({"key": group["key"][:1], "block": group["block"][:1], "m": [product(read(group["m"])).tobytes()]})
+
+    def blocks(group):
+        import pandas as pd
+
+        group = group.sort_values("block")
+        found = border_states(read(group["m"]))
+        return pd.DataFrame({"key1": group["key"], "block1": group["block"], "enter": found[:-1], "leave": found[1:]})
+
     def states(group):
         import pandas as pd
 
         group = group.sort_values("k")
-        size = load(path).longest
-        found = border_states([np.frombuffer(m, np.int64).reshape(size, size) for m in group["m"]])
+        found = border_states(read(group["m"]), int(group["enter"].iloc[0]), int(group["leave"].iloc[0]))
         return pd.DataFrame({"key2": group["key"], "k2": group["k"], "enter": found[:-1], "leave": found[1:]})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +400,11 @@ def encode(docs: DataFrame, text: str = "text", ids_as: str = "ids", model: str
     if big.isEmpty():
         return small
     dealt = cut(big.select(F.col("__key").alias("key"), F.col(text).alias("t")).mapInArrow(deal, "key bigint, k int, local string, context int").repartition(F.col("key"), F.col("k")))
-    mats = dealt.mapInArrow(matrices, "key bigint, k int, m binary")
-    best = mats.groupBy("key").applyInPandas(states, "key2 bigint, k2 int, enter int, leave int")
+    mats = cut(dealt.mapInArrow(matrices, "key bigint, k int, m binary").withColumn("block", F.floor(F.col("k") / FAN).cast("int")))
+    outer = mats.groupBy("key", "block").applyInPandas(block, "key bigint, block int, m binary")
+    outer = outer.groupBy("key").applyInPandas(blocks, "key1 bigint, block1 int, enter int, leave int")
+    inner = mats.join(outer, (F.col("key") == F.col("key1")) & (F.col("block") == F.col("block1")))
+    best = inner.select("key", "block", "k", "m", "enter", "leave").groupBy("key", "block").applyInPandas(states, "key2 bigint, k2 int, enter int, leave int")
     traced = dealt.join(best, (F.col("key") == F.col("key2")) & (F.col("k") == F.col("k2"))).select("key", "k", "local", "context", "enter", "leave").mapInArrow(trace, "key bigint, k int, ids array<int>")
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias(ids_as))
     large = big.join(whole, F.col("__key") == F.col("key")).select(*cols, ids_as)
