@@ -532,6 +532,39 @@ def test_html_template(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_every_article_and_text_after_a_loose_mark():
+    assert html_extract.main_text("<article><p>one</p></article><div>x</div><article><p>two two</p></article>") == "one\ntwo two"
+    assert html_extract.main_text("<div class=content>a</div><div class=content>b c</div>") == "a\nb c"
+    assert html_extract.main_text("<p>if a <b and c then stop") == "if a <b and c then stop"
+    assert html_extract.main_text('<p>cut <a href="x y') == "cut"
+    assert html_extract.main_text("<p>" + "word " * 400_000 + "</p>") == "word " * 399_999 + "word"
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_html_slots_without_telling_markup(spark, named):
+    """Meaningless class names or none: the slots of the host's template alone tell the article from menu, notice, advert and foot."""
+    rng = random.Random(7)
+    name = (lambda k: f' class="q{k}x"') if named else (lambda k: "")
+    rows, want = [], {}
+    for i in range(40):
+        notice, ad, foot = (prose(rng, 4) for _ in range(3))
+        paras = [prose(rng, rng.randrange(5, 60)) for _ in range(rng.randrange(1, 6))]
+        menu = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in prose(rng, 5).split())
+        want[i] = "\n".join([f"Head {i} of all", *paras])
+        html = f"<html><body><div{name(1)}><ul>{menu}</ul></div><div{name(2)}>{notice}</div><div{name(3)}>{ad}</div>"
+        html += f"<div{name(4)}><h1>Head {i} of all</h1>{''.join(f'<p>{x}' for x in paras)}</div><div{name(5)}>Copyright {foot}</div></body></html>"
+        rows.append((i, "http://plain.example/x", html))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == want
+
+
+def test_html_spread_text_keeps_all_its_elements():
+    """Text in several like elements is the article's in all of them; a small one beside them is not."""
+    template = [(1, 0, html_extract.OPEN, 1000), (2, 1, html_extract.OPEN, 480), (3, 1, html_extract.OPEN, 470), (4, 1, html_extract.OPEN, 50), (5, 4, html_extract.TEXT, 0)]
+    assert html_extract.region(template) == (frozenset([5]), 1, frozenset([4]))
+    assert html_extract.region([]) == (frozenset(), None, frozenset())
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 
 
