@@ -155,60 +155,183 @@ def join_count_ratio(obs: DataFrame, key: str, cluster: str, w: DataFrame) -> Da
     return n.join(g, "c", "left").select(F.col("c").alias("cluster"), "n", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), F.coalesce("same", F.lit(0)).alias("same"), F.coalesce(ratio(F.col("same").cast("double"), F.col("neighbours")), F.lit(0.0)).alias("ratio"))
 
 
-def permute(obs: DataFrame, key: str, x: str, w: DataFrame, permutations: int = 999, seed: int = 123456789, statistic: str = "moran") -> DataFrame:
-    """(key, statistic, pseudo_p, significance): conditional permutation inference.
+STATISTICS = ("moran", "geary", "g", "g_star", "join_count")
 
-    Each observation draws its number of neighbours from all others without replacement.  Draws depend on (seed, key, turn)
-    alone, not on partitioning.  z of all observations (8 bytes each) is broadcast to the tasks; above 20 million
-    observations this raises.
-    """
+
+def _drawn(rng, m: int, k: int, times: int):
+    """times rows of k distinct numbers below m, each set equally likely (Floyd's draw: no row of m numbers is made)."""
     import numpy as np
-    import pyarrow as pa
 
-    if statistic not in ("moran", "geary"):
-        raise ValueError(f"unknown statistic {statistic!r}: moran or geary")
-    d, e = usable(obs, key, w, x)
-    d = standardized(d, x)
+    if k > 256:
+        return np.stack([rng.choice(m, k, replace=False, shuffle=False) for _ in range(times)])
+    out = np.empty((times, k), np.int64)
+    for i, top in enumerate(range(m - k, m)):
+        t = rng.integers(0, top + 1, times)
+        out[:, i] = np.where((out[:, :i] == t[:, None]).any(axis=1), top, t)
+    return out
+
+
+def _local(statistic: str, own, s1, s2, k, total: float):
+    """A local statistic of the own values and the neighbours' sums and sums of squares, variables along the last axis."""
+    if statistic == "moran":
+        return own[..., 0] * s1[..., 0] / k
+    if statistic == "geary":
+        return (own * own - 2 * own * s1 / k + s2 / k).mean(axis=-1)
+    if statistic == "g":
+        return s1[..., 0] / k / (total - own[..., 0])
+    if statistic == "g_star":
+        return (s1[..., 0] + own[..., 0]) / (k + 1) / total
+    return own[..., 0] * s1[..., 0]
+
+
+def placed(d: DataFrame, values: list[str], limit: int = 20_000_000) -> tuple[DataFrame, object]:
+    """d with a place (from 0, by id), and the values by place, broadcast: 8 bytes a value; above `limit` observations this raises."""
+    import numpy as np
+
+    from lattix.functions.scalars import with_rank
+    from lattix.session import cut
+
     n = scalars(d, n=F.count("*"))["n"]
-    if n > 20_000_000:
+    if n > limit:
         raise ValueError("too many observations to send to every task")
-    rows = lagged(d, e, F.avg(f"n_{x}").alias("__lag"), F.avg(F.col(f"n_{x}") * F.col(f"n_{x}")).alias("__lag2"), F.count("*").alias("__k"))
-    z = np.array([r[0] for r in d.orderBy("id").select(x).collect()])
-    spread = d.sparkSession.sparkContext.broadcast(z)
+    d = cut(with_rank(d, [F.col("id")], "place").withColumn("place", F.col("place") - 1))
+    got = d.select("place", *values).toArrow()
+    table = np.empty((n, len(values)))
+    table[got.column(0).to_numpy()] = np.stack([got.column(i + 1).to_numpy() for i in range(len(values))], axis=1)
+    return d, d.sparkSession.sparkContext.broadcast(table)
+
+
+def permute(
+    obs: DataFrame, key: str, x: str | list[str], w: DataFrame, permutations: int = 999, seed: int = 123456789, statistic: str = "moran", y: str | None = None
+) -> DataFrame:
+    """(key, statistic, pseudo_p, significance): conditional permutation inference of a local statistic.
+
+    moran: x here, y (or x) around; geary: one or several x; g and g_star: one x; join_count: x is 1 (all, if several), or x here
+    and y around; its p is undefined where the count is 0.  Each observation draws its number of neighbours from all others
+    without replacement.  Draws depend on (seed, key) alone, not on partitioning.  The values of all observations (8 bytes
+    each) are broadcast to the tasks; above 20 million observations this raises.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    if statistic not in STATISTICS:
+        raise ValueError(f"unknown statistic {statistic!r}: one of {', '.join(STATISTICS)}")
+    xs = [x] if isinstance(x, str) else list(x)
+    if y and statistic not in ("moran", "join_count"):
+        raise ValueError(f"{statistic} has no second variable")
+    if len(xs) > 1 and statistic not in ("geary", "join_count") or len(xs) > 1 and y:
+        raise ValueError(f"{statistic} takes one variable here")
+    d, e = usable(obs, key, w, *dict.fromkeys([*xs, *([y] if y else [])]))
+    if statistic in ("moran", "geary"):
+        d = standardized(d, *dict.fromkeys([*xs, *([y] if y else [])]))
+    if statistic == "join_count":
+        here = F.lit(True)
+        for v in xs:
+            here = here & (F.col(v) == 1)
+        d = d.select("id", here.cast("double").alias("o0"), ((F.col(y) == 1) if y else here).cast("double").alias("v0"))
+    else:
+        d = d.select("id", *[F.col(v).alias(f"o{i}") for i, v in enumerate(xs)], *[F.col(y or v).alias(f"v{i}") for i, v in enumerate(xs)])
+    m = 1 if statistic == "join_count" else len(xs)
+    vs = [f"v{i}" for i in range(m)]
+    d, spread = placed(d, vs)
+    total = scalars(d, t=F.sum("v0"))["t"] or 0.0
+    sums = [F.sum(f"n_{v}").alias(f"a_{v}") for v in vs] + [F.sum(F.col(f"n_{v}") * F.col(f"n_{v}")).alias(f"q_{v}") for v in vs]
+    rows = lagged(d.select("id", *vs), e, *sums, F.count("*").alias("k")).drop(*vs).join(d.drop(*vs), "id")
+    asked = rows.select("id", "place", F.xxhash64("id").alias("h"), "k", *[f"o{i}" for i in range(m)], *[f"a_{v}" for v in vs], *[f"q_{v}" for v in vs])
     kind = d.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         everyone = spread.value
+        step = max(1, (1 << 22) // m)
         for b in batches:
-            ids, zs, lags, lag2, ks = (b.column(i).to_pylist() for i in range(5))
-            stats, ps = [], []
-            for i, zi, li, qi, k in zip(ids, zs, lags, lag2, ks):
-                rng = np.random.Generator(np.random.Philox(key=[seed, abs(hash(i)) % (1 << 63)]))
-                own = int(np.abs(everyone - zi).argmin())
-                m = len(everyone) - 1
-                draw = rng.integers(0, m, (permutations, k)) if k * k < m else np.argsort(rng.random((permutations, m)), axis=1)[:, :k]
-                while k * k < m:  # redraw rows with a repeat
-                    bad = np.flatnonzero((np.diff(np.sort(draw, axis=1), axis=1) == 0).any(axis=1))
-                    if not len(bad):
-                        break
-                    draw[bad] = rng.integers(0, m, (len(bad), k))
-                v = everyone[draw + (draw >= own)]
-                if statistic == "moran":
-                    s, sims = zi * li, zi * v.mean(axis=1)
-                    count = (sims >= s - 1e-12).sum()
+            place, h, ks = (b.column(i).to_numpy() for i in (1, 2, 3))
+            own, s1, s2 = (np.stack([b.column(4 + j * m + i).to_numpy(zero_copy_only=False) for i in range(m)], axis=1) for j in range(3))
+            stats, ps = np.empty(len(b)), np.empty(len(b))
+            for r in range(len(b)):
+                rng = np.random.Generator(np.random.Philox(key=[seed, int(h[r]) & ((1 << 64) - 1)]))
+                k, turns = int(min(ks[r], len(everyone) - 1)), max(1, step // max(1, int(ks[r])))
+                sims = []
+                for lo in range(0, permutations, turns):
+                    draw = _drawn(rng, len(everyone) - 1, k, min(turns, permutations - lo))
+                    v = everyone[draw + (draw >= place[r])]
+                    sims.append(_local(statistic, own[r], v.sum(axis=1), (v * v).sum(axis=1), k, total))
+                sim = np.concatenate(sims)
+                got = stats[r] = _local(statistic, own[r], s1[r], s2[r], ks[r], total)
+                near = 1e-12 * max(1.0, abs(got))
+                if statistic == "geary":
+                    count = (sim <= got + near).sum() if got <= sim.mean() + near else (sim >= got - near).sum()
                 else:
-                    s, sims = zi * zi - 2 * zi * li + qi, zi * zi - 2 * zi * v.mean(axis=1) + (v * v).mean(axis=1)
-                    count = (sims <= s + 1e-12).sum() if s <= sims.mean() + 1e-12 else (sims >= s - 1e-12).sum()
-                count = min(count, permutations - count) if statistic == "moran" else count
-                stats.append(s)
-                ps.append((count + 1) / (permutations + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(stats), pa.array(ps)], names=["id", "statistic", "pseudo_p"])
-
-    out = rows.select("id", F.col(x), "__lag", "__lag2", "__k").mapInArrow(run, f"id {kind}, statistic double, pseudo_p double")
+                    count = (sim >= got - near).sum()
+                    count = min(count, permutations - count)
+                ps[r] = (count + 1) / (permutations + 1)
+            none = (stats == 0) if statistic == "join_count" else np.zeros(len(b), bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(stats), pa.array(ps, mask=none)], names=["id", "statistic", "pseudo_p"])
+
+    out = asked.mapInArrow(run, f"id {kind}, statistic double, pseudo_p double")
     bins = sum([(F.col("pseudo_p") <= b).cast("int") for b in SIGNIFICANCE], F.lit(0))
     return out.select(F.col("id").alias(key), "statistic", "pseudo_p", bins.alias("significance"))
 
 
+def shuffled(at, n: int, turn: int, seed: int):
+    """The places of `at` in the turn-th random order of n places.
+
+    A Feistel network over the least even number of bits that holds n, walked until the place is below n: a
+    bijection whose every value is had by itself, so no order is ever made or sent.
+    """
+    import numpy as np
+
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    keys = np.random.Generator(np.random.Philox(key=[seed, turn])).integers(0, 1 << 63, 6).astype(np.uint64)
+    out = np.asarray(at).astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> np.uint64(half), out[todo] & mask
+        for key in keys:
+            f = (right ^ key) * np.uint64(0x9E3779B97F4A7C15)
+            f = (f ^ (f >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            left, right = right, left ^ ((f >> np.uint64(32)) & mask)
+        out[todo] = (left << np.uint64(half)) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+def permute_global(obs: DataFrame, key: str, x: str, w: DataFrame, permutations: int = 999, seed: int = 123456789, y: str | None = None) -> DataFrame:
+    """One row (statistic, mean, deviation, z, pseudo_p): sum of z times the neighbours' mean over n - 1, against random maps.
+
+    Every task computes its edges' part under all maps; only one sum a map and partition is shuffled.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = list(dict.fromkeys([x, y or x]))
+    d, e = usable(obs, key, w, *names)
+    d, spread = placed(standardized(d, *names), names)
+    ends = e.join(d.select(F.col("id").alias("src"), F.col("place").alias("a")), "src").join(d.select(F.col("id").alias("dst"), F.col("place").alias("b")), "dst")
+    edges = ends.join(ends.groupBy("a").agg(F.count("*").alias("k")), "a").select("a", "b", (1.0 / F.col("k")).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = spread.value
+        n = len(table)
+        sums = np.zeros(permutations + 1)
+        for batch in batches:
+            a, b, part = (batch.column(i).to_numpy() for i in range(3))
+            nodes, back = np.unique(np.r_[a, b], return_inverse=True)
+            for turn in range(permutations + 1):
+                at = shuffled(nodes, n, turn, seed) if turn else nodes
+                sums[turn] += (table[at, 0][back[: len(a)]] * table[at, -1][back[len(a) :]] * part).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(permutations + 1)), pa.array(sums / max(1, n - 1))], names=["turn", "s"])
+
+    got = edges.mapInArrow(run, "turn bigint, s double").groupBy("turn").agg(F.sum("s").alias("s")).orderBy("turn").toArrow().column("s").to_numpy()
+    if not len(got):
+        got = np.zeros(permutations + 1)
+    own, sims = float(got[0]), got[1:]
+    above = int((sims >= own - 1e-12).sum())
+    mean, sd = float(sims.mean()), float(sims.std(ddof=1)) if permutations > 1 else None
+    row = (own, mean, sd, (own - mean) / sd if sd else None, (min(above, permutations - above) + 1) / (permutations + 1))
+    return obs.sparkSession.createDataFrame([row], "statistic double, mean double, deviation double, z double, pseudo_p double")
+
+
 def bonferroni(p: DataFrame, alpha: float) -> float:
     return alpha / scalars(p, n=F.count("*"))["n"]
 

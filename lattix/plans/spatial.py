@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattix.operators import autocorr, weights
-from lattix.plans.tables import W, nation_block, rounded, supplier
+from lattix.plans.tables import HAZEN, W, nation_block, rounded, supplier
 from lattix.session import read_table
 
 QUERIES: dict = {}
@@ -259,7 +259,9 @@ def join_count_ratio(spark, d):
     return rounded(autocorr.join_count_ratio(c, "p_partkey", "cluster", weights.lattice_weights(c, "p_partkey")), "ratio")
 
 
-@register("quantile_lisa")
+@register("quantile_lisa", f"""
+WITH {HAZEN.format(at='(75.0)')}, {W}, x AS (SELECT s_suppkey, CAST(s_acctbal > (SELECT br FROM b) AS INTEGER) AS a FROM supplier WHERE s_suppkey IN (SELECT src FROM w))
+SELECT m.s_suppkey, CAST(any_value(m.a) * sum(n.a) AS BIGINT) AS jc FROM x m JOIN w ON src = m.s_suppkey JOIN x n ON dst = n.s_suppkey GROUP BY 1""")
 def quantile_lisa(spark, d):
     return autocorr.quantile_lisa(supplier(spark, d), "s_suppkey", "s_acctbal", nation_block(spark, d), 4, 4)
 
@@ -272,3 +274,24 @@ def local_moran_permutation(spark, d):
 @register("local_geary_permutation")
 def local_geary_permutation(spark, d):
     return autocorr.permute(supplier(spark, d), "s_suppkey", "s_acctbal", nation_block(spark, d), statistic="geary")
+
+
+@register("getis_ord_permutation")
+def getis_ord_permutation(spark, d):
+    return autocorr.permute(supplier(spark, d), "s_suppkey", "s_acctbal", nation_block(spark, d), statistic="g")
+
+
+@register("multivariate_geary_permutation")
+def multivariate_geary_permutation(spark, d):
+    s = supplier(spark, d).withColumn("k", F.col("s_suppkey") % 5)
+    return autocorr.permute(s, "s_suppkey", ["s_acctbal", "k"], nation_block(spark, d), statistic="geary")
+
+
+@register("join_count_permutation")
+def join_count_permutation(spark, d):
+    return autocorr.permute(_binary(spark, d), "s_suppkey", "a", nation_block(spark, d), statistic="join_count")
+
+
+@register("global_moran_permutation")
+def global_moran_permutation(spark, d):
+    return autocorr.permute_global(supplier(spark, d), "s_suppkey", "s_acctbal", nation_block(spark, d))

@@ -199,7 +199,74 @@ def test_permute_names_its_statistics_and_geary_has_999_draws(board, spark):
     from lattix.plans.catalog import queries
 
     with pytest.raises(ValueError):
-        autocorr.permute(board, "id", "s", board.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight")), 9, statistic="join_count")
+        autocorr.permute(board, "id", "s", board.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight")), 9, statistic="ripley")
     got = queries()["local_geary_permutation"](spark, "/root/testdata/sf0.01")
     p = [r["pseudo_p"] for r in got.collect() if r["pseudo_p"] is not None]
     assert p and all(abs(v * 1000 - round(v * 1000)) < 1e-9 for v in p) and any(abs(v * 200 - round(v * 200)) > 1e-9 for v in p)
+
+
+def test_draws_are_distinct_and_even():
+    rng = np.random.default_rng(1)
+    got = autocorr._drawn(rng, 5, 2, 20_000)
+    assert (got[:, 0] != got[:, 1]).all() and got.min() == 0 and got.max() == 4
+    pairs = np.unique(np.sort(got, axis=1), axis=0, return_counts=True)[1]
+    assert len(pairs) == 10 and abs(pairs - 2000).max() < 250
+    assert autocorr._drawn(rng, 300, 300, 2).tolist() is not None and (np.sort(autocorr._drawn(rng, 300, 300, 2)) == np.arange(300)).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 36, 1000])
+def test_shuffled_is_a_bijection(n):
+    orders = [autocorr.shuffled(np.arange(n), n, t, 7) for t in range(1, 5)]
+    assert all((np.sort(o) == np.arange(n)).all() for o in orders)
+    assert n < 36 or len({tuple(o) for o in orders}) == 4
+
+
+@pytest.mark.parametrize("statistic,x,y", [("moran", "v", None), ("moran", "v", "u"), ("geary", ["v"], None), ("geary", ["v", "u"], None), ("g", "v", None), ("g_star", "v", None), ("join_count", ["b"], None), ("join_count", "b", "c")])
+def test_permutation_matches_enumeration(spark, statistic, x, y):
+    """Six observations: the share of all possible neighbour sets that reach the statistic, counted one by one."""
+    from itertools import combinations
+
+    vals = [(0, 1.0, 2.0, 1, 0), (1, 4.0, 1.0, 1, 1), (2, 2.5, 7.0, 0, 1), (3, 9.0, 3.0, 1, 1), (4, 3.0, 4.5, 0, 0), (5, 6.5, 0.5, 1, 1)]
+    edges = [(0, 1), (0, 3), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2), (3, 5), (4, 3), (4, 5), (5, 4), (5, 0)]
+    obs = spark.createDataFrame(vals, "id long, v double, u double, b int, c int")
+    w = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, dst long, weight double")
+    got = {r["id"]: r for r in autocorr.permute(obs, "id", x, w, 4999, statistic=statistic, y=y).collect()}
+    table = {c: np.array([r[i + 1] for r in vals], float) for i, c in enumerate("vubc")}
+    if statistic in ("moran", "geary"):
+        table = {c: (t - t.mean()) / t.std(ddof=1) for c, t in table.items()}
+    xs = [x] if isinstance(x, str) else x
+
+    def value(i, near):
+        near = list(near)
+        if statistic == "moran":
+            return table[xs[0]][i] * table[y or xs[0]][near].mean()
+        if statistic == "geary":
+            return np.mean([((table[c][i] - table[c][near]) ** 2).mean() for c in xs])
+        if statistic == "g":
+            return table[xs[0]][near].mean() / (table[xs[0]].sum() - table[xs[0]][i])
+        if statistic == "g_star":
+            return table[xs[0]][[i, *near]].mean() / table[xs[0]].sum()
+        return table[xs[0]][i] * table[y or xs[0]][near].sum()
+
+    for i in range(6):
+        own = value(i, [b for a, b in edges if a == i])
+        sims = np.array([value(i, c) for c in combinations([j for j in range(6) if j != i], 2)])
+        assert got[i]["statistic"] == pytest.approx(own)
+        if statistic == "join_count" and own == 0:
+            assert got[i]["pseudo_p"] is None
+            continue
+        if statistic == "geary":
+            share = (sims <= own + 1e-9).mean() if own <= sims.mean() + 1e-9 else (sims >= own - 1e-9).mean()
+        else:
+            share = (sims >= own - 1e-9).mean()
+            share = min(share, 1 - share)
+        assert got[i]["pseudo_p"] == pytest.approx(share, abs=0.03)
+
+
+def test_global_permutation(board, rook):
+    got = autocorr.permute_global(board, "id", "v", rook, 199).first()
+    again = autocorr.permute_global(board.repartition(5), "id", "v", rook.repartition(7), 199).first()
+    assert got["statistic"] == pytest.approx(-1) and got["pseudo_p"] == pytest.approx(1 / 200)
+    assert abs(got["mean"] + 1 / 35) < 0.06 and got["z"] < -5 and again["mean"] == pytest.approx(got["mean"])
+    flat = autocorr.permute_global(board, "id", "s", rook.where("src < 0"), 9).first()
+    assert flat["statistic"] == 0
