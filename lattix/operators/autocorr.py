@@ -124,6 +124,17 @@ def quantile_lisa(obs: DataFrame, key: str, x: str, w: DataFrame, k: int, q: int
     return join_count(obs.withColumn("hit", F.when(c.isNotNull(), inside.cast("int"))), key, ["hit"], w)
 
 
+def multivariate_quantile_lisa(obs: DataFrame, key: str, chosen: list[tuple[str, int, int]], w: DataFrame) -> DataFrame:
+    """Co-located join_count() of membership in the q-th of k quantile groups of each variable; chosen: (x, k, q)."""
+    from lattix.operators.classify import quantile_breaks
+
+    for i, (x, k, q) in enumerate(chosen):
+        b, c = quantile_breaks(obs, x, key, k), F.col(x)
+        inside = (F.lit(True) if q == 1 else c > b[q - 2]) & (F.lit(True) if q == k else c <= b[min(q, k - 1) - 1])
+        obs = obs.withColumn(f"__hit{i}", F.when(c.isNotNull(), inside.cast("int")))
+    return join_count(obs, key, [f"__hit{i}" for i in range(len(chosen))], w)
+
+
 def neighbour_match(space: DataFrame, attribute: DataFrame, obs: DataFrame, key: str, k: int) -> DataFrame:
     """(key, shared, p): neighbours common to two k-nearest graphs, and the chance of exactly that many."""
     n = scalars(obs, n=F.count("*"))["n"]

@@ -79,3 +79,28 @@ def normal(key: Column, seed: int, mean: float = 0.0, sd: float = 1.0) -> Column
 
 def date_part(df: DataFrame, part: str, t: str, into: str) -> DataFrame:
     return df.withColumn(into, DATE_PARTS[part](F.col(t)).cast("long"))
+
+
+DATE_FORMATS = (
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy hh:mm:ss a", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy",
+    "M/d/yyyy", "dd.MM.yyyy", "HH:mm:ss", "HH:mm",
+)
+
+
+def parse_dates(df: DataFrame, column: str, name: str, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
+    """df with the date-time of a text column as the whole number YYYYMMDDhhmmss: the first of the formats that reads a value;
+    times alone have the date 0; a two-digit year (M/d/yy) below 50 is 20yy, else 19yy; what none reads is undefined."""
+    text = F.trim(F.col(column).cast("string"))
+    parts = F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/)(\d{2})$", 2)
+    short = F.when(parts != "", F.concat(F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/)(\d{2})$", 1), F.when(parts < "50", F.lit("20")).otherwise(F.lit("19")), parts))
+    tries = [F.date_format(F.try_to_timestamp(F.coalesce(short, text), F.lit(f)), "HHmmss" if f[0] == "H" else "yyyyMMddHHmmss").cast("long") for f in formats]
+    return df.withColumn(name, F.coalesce(*tries))
+
+
+def is_date_column(df: DataFrame, column: str) -> bool:
+    """Whether every defined, non-blank value of a text column is a date or time that parse_dates reads, and there is one."""
+    from lattix.functions.scalars import scalars
+
+    d = parse_dates(df.where(F.trim(F.col(column).cast("string")) != ""), column, "__t")
+    s = scalars(d, n=F.count("*"), known=F.count("__t"))
+    return s["n"] > 0 and s["n"] == s["known"]

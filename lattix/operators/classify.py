@@ -249,3 +249,19 @@ def averages_test(df: DataFrame, x: str, regime: str) -> dict[str, float]:
     between = n0 * n1 / (n0 + n1) * (s["m0"] - s["m1"]) ** 2
     f = between / within if within else None
     return {"n0": n0, "n1": n1, "mean0": s["m0"], "mean1": s["m1"], "f": f, "p": None if f is None else f_sf(f, 1, n0 + n1 - 2)}
+
+
+def scatter_matrix(df: DataFrame, xs: list[str]) -> DataFrame:
+    """(x, y, n, slope, intercept, r2) for every ordered pair of variables, over rows with both defined: one pass over df."""
+    c = {x: F.col(x).cast("double") for x in xs}
+    rows = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), c[a].alias("u"), c[b].alias("v")) for a in xs for b in xs if a != b])
+    d = df.select(F.explode(rows).alias("r")).select("r.*").where("u is not null and v is not null")
+    return d.groupBy("x", "y").agg(F.count("*").alias("n"), F.regr_slope("v", "u").alias("slope"), F.regr_intercept("v", "u").alias("intercept"), F.regr_r2("v", "u").alias("r2"))
+
+
+def conditional(df: DataFrame, value: str, across: str, down: str, across_breaks: list[float], down_breaks: list[float]) -> DataFrame:
+    """(across, down, n, mean, deviation) of a variable in the cells of two classifications; undefined values take no part."""
+    d = df.where(F.col(value).isNotNull() & F.col(across).isNotNull() & F.col(down).isNotNull())
+    place = lambda c, breaks: sum([(F.col(c) >= b).cast("int") for b in breaks], F.lit(0))
+    cells = d.select(place(across, across_breaks).alias("across"), place(down, down_breaks).alias("down"), F.col(value).cast("double").alias("v"))
+    return cells.groupBy("across", "down").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("deviation"))

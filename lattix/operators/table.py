@@ -32,6 +32,18 @@ def merge_outer(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return out.withColumn("key", F.coalesce("__k", "__rk")).drop("__k", "__rk")
 
 
+def merge_by_order(left: DataFrame, right: DataFrame, left_order: str, right_order: str, suffix: str = "_right") -> DataFrame:
+    """Left join of the i-th row with the i-th row, by each table's order column; right must have as many rows or more."""
+    from lattix.functions.scalars import scalars, with_rank
+
+    if scalars(right, n=F.count("*"))["n"] < scalars(left, n=F.count("*"))["n"]:
+        raise ValueError("the right table has fewer rows than the left one")
+    taken = {c.lower() for c in left.columns}
+    a = with_rank(left, [F.col(left_order)], "__place")
+    b = with_rank(right, [F.col(right_order)], "__place").select("__place", *[F.col(c).alias(c + suffix if c.lower() in taken else c) for c in right.columns])
+    return a.join(b, "__place", "left").drop("__place")
+
+
 def append(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
@@ -60,6 +72,25 @@ def select_range(df: DataFrame, column: str, low: float, high: float, selected:
     return df.withColumn(selected, hit)
 
 
+def select_undefined(df: DataFrame, *columns: str, selected: str = "selected") -> DataFrame:
+    """Marks rows with an undefined value in any of the columns."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.col(c).isNull()
+    return df.withColumn(selected, hit)
+
+
+def select_random(df: DataFrame, key: str, n: int, seed: int = 123456789, selected: str = "selected") -> DataFrame:
+    """Marks n rows (all, if fewer), each set equally likely; depends on seed and key alone."""
+    from lattix.functions.scalars import with_rank
+
+    return with_rank(df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))), [F.col("__h"), F.col(key)], "__r").withColumn(selected, F.col("__r") <= n).drop("__h", "__r")
+
+
+def clear(df: DataFrame, selected: str = "selected") -> DataFrame:
+    return df.withColumn(selected, F.lit(False))
+
+
 def invert(df: DataFrame, selected: str = "selected") -> DataFrame:
     return df.withColumn(selected, ~F.col(selected))
 
@@ -163,3 +194,35 @@ def assign_polygon(points: DataFrame, polys: DataFrame, point_key: str, poly_key
     """(point, polygon): the polygon a point lies in (the largest id of several), -1 where none."""
     hits = points_in_polygons(points, polys, point_key, poly_key, cell, **names).groupBy("point").agg(F.max("polygon").alias("polygon"))
     return points.select(F.col(point_key).alias("point")).join(hits, "point", "left").select("point", F.coalesce("polygon", F.lit(-1)).alias("polygon"))
+
+
+def points_from_table(df: DataFrame, x: str, y: str) -> DataFrame:
+    """df with x and y as a point layer: numeric coordinates; rows without both are left out."""
+    p = df.withColumn("x", F.col(x).try_cast("double")).withColumn("y", F.col(y).try_cast("double"))
+    return p.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
+def double_counted(counts: DataFrame, features: DataFrame, count: str = "count") -> bool:
+    """Whether a spatial count counted some feature more than once: the counts' sum is above the number of features."""
+    from lattix.functions.scalars import scalars
+
+    return (scalars(counts, s=F.sum(count))["s"] or 0) > scalars(features, n=F.count("*"))["n"]
+
+
+def centroids(polys: DataFrame, key: str, rings: str = "rings") -> DataFrame:
+    """(key, area, x, y): area centroid of polygons; rings wind against each other where they are holes.  No area: undefined."""
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def step(ring):
+        def add(s, i):
+            v, w = F.element_at(ring, i + 1), F.element_at(ring, F.pmod(i + 1, F.size(ring)) + 1)
+            c = v["x"] * w["y"] - w["x"] * v["y"]
+            return F.struct((s["a"] + c).alias("a"), (s["x"] + (v["x"] + w["x"]) * c).alias("x"), (s["y"] + (v["y"] + w["y"]) * c).alias("y"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(ring) - 1), zero, add)
+
+    parts = F.transform(F.filter(rings, lambda r: F.size(r) > 0), step)
+    s = F.aggregate(parts, zero, lambda a, b: F.struct((a["a"] + b["a"]).alias("a"), (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y")))
+    out = polys.select(key, s.alias("s"))
+    whole = F.nullif(F.col("s.a") * 3, F.lit(0.0))
+    return out.select(key, (F.abs("s.a") / 2).alias("area"), (F.col("s.x") / whole).alias("x"), (F.col("s.y") / whole).alias("y"))

@@ -73,8 +73,8 @@ def distance(kind: str, x1: Column, y1: Column, x2: Column, y2: Column) -> Colum
     return F.sqrt(F.pow(x1 - x2, 2) + F.pow(y1 - y2, 2))
 
 
-def pairs_within(points: DataFrame, key: str, radius: float, x: str = "x", y: str = "y", kind: str = "euclidean") -> DataFrame:
-    """(src, dst, d) with d <= radius: points meet by grid cells of the radius, then the distance decides.
+def pairs_within(points: DataFrame, key: str, radius: float, x: str = "x", y: str = "y", kind: str = "euclidean", asked: DataFrame | None = None) -> DataFrame:
+    """(src, dst, d) with d <= radius: points meet by grid cells of the radius, then the distance decides; asked: (id) of the sources.
 
     Arc distances are bounded by cells on the unit sphere (chord length), so poles and the date line are no exception.
     """
@@ -90,7 +90,7 @@ def pairs_within(points: DataFrame, key: str, radius: float, x: str = "x", y: st
     for _ in axes:
         steps = [[*s, d] for s in steps for d in (-1, 0, 1)]
     near = F.array(*[F.array(*[F.col("cell")[i] + d for i, d in enumerate(s)]) for s in steps])
-    a = cell.select(F.col("id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.explode(near).alias("cell"))
+    a = (cell if asked is None else cell.join(asked, "id", "left_semi")).select(F.col("id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.explode(near).alias("cell"))
     b = cell.select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cell")
     d = distance(kind, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     return a.join(b, "cell").where("src <> dst").select("src", "dst", d.alias("d")).where(F.col("d") <= radius)
@@ -125,8 +125,7 @@ def nearest(points: DataFrame, key: str, k: int, x: str = "x", y: str = "y", kin
     w = Window.partitionBy("src").orderBy("d", "dst")
     out, todo = None, p.select("id") if queries is None else queries.select(F.col(key).alias("id"))
     while True:
-        asked = p.join(todo, "id", "left_semi").select(F.col("id").alias("q"))
-        near = pairs_within(p, "id", radius, kind=kind).join(asked, F.col("src") == F.col("q"), "left_semi")
+        near = pairs_within(p, "id", radius, kind=kind, asked=todo)
         ranked = cut(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
         full = ranked.groupBy("src").count().where(F.col("count") >= k).select("src")
         got = ranked if radius >= reach else ranked.join(full, "src", "left_semi")
@@ -141,6 +140,63 @@ def knn_weights(points: DataFrame, key: str, k: int, power: float | None = None,
     return _edges(nearest(points, key, k, **how), F.lit(1.0) if power is None else F.pow("d", F.lit(float(power))))
 
 
+def _many(obs: DataFrame, key: str, xs: list[str]) -> DataFrame:
+    return obs.select(F.col(key).alias("id"), F.array(*[F.col(x).cast("double") for x in xs]).alias("v")).where(~F.exists("v", lambda c: c.isNull()))
+
+
+def multivariate_pairs(obs: DataFrame, key: str, xs: list[str], radius: float, kind: str = "euclidean", asked: DataFrame | None = None) -> DataFrame:
+    """(src, dst, d) with d <= radius over several variables (euclidean or manhattan); rows with an undefined one have no pairs.
+
+    Rows meet by cells of the radius over the first three variables; the distance over all decides.
+    """
+    p, axes = _many(obs, key, xs), min(3, len(xs))
+    size = radius if radius > 0 else 1.0
+    cell = p.withColumn("cell", F.array(*[F.floor(F.col("v")[i] / size) for i in range(axes)]))
+    steps = [[]]
+    for _ in range(axes):
+        steps = [[*s, d] for s in steps for d in (-1, 0, 1)]
+    near = F.array(*[F.array(*[F.col("cell")[i] + d for i, d in enumerate(s)]) for s in steps])
+    a = (cell if asked is None else cell.join(asked, "id", "left_semi")).select(F.col("id").alias("src"), F.col("v").alias("v1"), F.explode(near).alias("cell"))
+    b = cell.select(F.col("id").alias("dst"), F.col("v").alias("v2"), "cell")
+    gap = F.zip_with("v1", "v2", lambda s, t: F.abs(s - t) if kind == "manhattan" else (s - t) * (s - t))
+    total = F.aggregate(gap, F.lit(0.0), lambda s, t: s + t)
+    d = total if kind == "manhattan" else F.sqrt(total)
+    return a.join(b, "cell").where("src <> dst").select("src", "dst", d.alias("d")).where(F.col("d") <= radius)
+
+
+def multivariate_band(obs: DataFrame, key: str, xs: list[str], radius: float, kind: str = "euclidean") -> DataFrame:
+    return _edges(multivariate_pairs(obs, key, xs, radius, kind))
+
+
+def multivariate_knn(obs: DataFrame, key: str, xs: list[str], k: int, kind: str = "euclidean", start: float | None = None) -> DataFrame:
+    """(src, dst, d, rank): the k nearest rows over several variables, ties to the smaller id; the radius doubles for rows that found fewer."""
+    from lattix.functions.scalars import scalars
+    from lattix.session import cut
+
+    p = _many(obs, key, xs)
+    flat = cut(p.select("id", *[F.col("v")[i].alias(f"v{i}") for i in range(len(xs))]))
+    names = flat.columns[1:]
+    s = scalars(flat, n=F.count("*"), **{f"lo{i}": F.min(c) for i, c in enumerate(names)}, **{f"hi{i}": F.max(c) for i, c in enumerate(names)})
+    n = s["n"]
+    k = min(k, n - 1)
+    if n < 2 or k < 1:
+        return multivariate_pairs(flat, "id", names, 1.0, kind).where("false").withColumn("rank", F.lit(1))
+    wide = [s[f"hi{i}"] - s[f"lo{i}"] for i in range(len(names))]
+    reach = sum(wide) if kind == "manhattan" else math.hypot(*wide)
+    radius = start or max(max(wide) * (3 * k / n) ** (1 / len(names)) / 2, 1e-9)
+    w = Window.partitionBy("src").orderBy("d", "dst")
+    out, todo = None, flat.select("id")
+    while True:
+        ranked = cut(multivariate_pairs(flat, "id", names, radius, kind, todo).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        full = ranked.groupBy("src").count().where(F.col("count") >= k).select("src")
+        got = ranked if radius >= reach else ranked.join(full, "src", "left_semi")
+        out = got if out is None else out.unionByName(got)
+        todo = cut(todo.join(full, F.col("id") == F.col("src"), "left_anti"))
+        if radius >= reach or todo.isEmpty():
+            return out
+        radius = min(2 * radius, reach * 1.0000001)
+
+
 KERNELS = {
     "uniform": lambda z: F.lit(0.5), "triangular": lambda z: 1 - z, "epanechnikov": lambda z: 0.75 * (1 - z * z),
     "quartic": lambda z: 15 / 16 * F.pow(1 - z * z, 2), "gaussian": lambda z: F.exp(-z * z / 2) / math.sqrt(2 * math.pi),

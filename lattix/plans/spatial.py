@@ -295,3 +295,24 @@ def join_count_permutation(spark, d):
 @register("global_moran_permutation")
 def global_moran_permutation(spark, d):
     return autocorr.permute_global(supplier(spark, d), "s_suppkey", "s_acctbal", nation_block(spark, d))
+
+
+MANY = "m AS (SELECT p_partkey AS id, p_retailprice AS a, CAST(p_size AS DOUBLE) AS b FROM part), d AS (SELECT a.id AS src, b.id AS dst, sqrt((a.a - b.a) ** 2 + (a.b - b.b) ** 2) AS d FROM m a JOIN m b ON a.id <> b.id)"
+
+
+@register("multivariate_band", f"WITH {MANY} SELECT src, dst, CAST(1 AS DOUBLE) AS weight FROM d WHERE d <= 5.0")
+def multivariate_band(spark, d):
+    return weights.multivariate_band(read_table(spark, d, "part"), "p_partkey", ["p_retailprice", "p_size"], 5.0)
+
+
+@register("multivariate_knn", f"WITH {MANY} SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(d, 6) + 0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rank FROM d) WHERE rank <= 4")
+def multivariate_knn(spark, d):
+    return rounded(weights.multivariate_knn(read_table(spark, d, "part"), "p_partkey", ["p_retailprice", "p_size"], 4), "d").select("src", "dst", "rank", "d")
+
+
+@register("multivariate_quantile_lisa", f"""
+WITH {HAZEN.format(at='(50.0)')}, {W}, x AS (SELECT s_suppkey, CAST(s_acctbal > (SELECT br FROM b) AS INTEGER) AS a FROM supplier WHERE s_suppkey IN (SELECT src FROM w))
+SELECT m.s_suppkey, CAST(any_value(m.a) * sum(n.a) AS BIGINT) AS jc FROM x m JOIN w ON src = m.s_suppkey JOIN x n ON dst = n.s_suppkey GROUP BY 1""")
+def multivariate_quantile_lisa(spark, d):
+    s = supplier(spark, d).withColumn("again", F.col("s_acctbal") * 2)
+    return autocorr.multivariate_quantile_lisa(s, "s_suppkey", [("s_acctbal", 2, 2), ("again", 2, 2)], nation_block(spark, d))

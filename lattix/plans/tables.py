@@ -337,3 +337,56 @@ SELECT p_partkey, CASE WHEN p_size % 3 = p_partkey % 3 THEN CAST(p_size % 3 AS B
 def colocation_map(spark, d):
     p = read_table(spark, d, "part").select("p_partkey", (F.col("p_size") % 3).cast("long").alias("a"), (F.col("p_partkey") % 3).alias("b"))
     return classify.colocation(p, ["a", "b"]).select("p_partkey", "shared")
+
+
+@register("merge_by_order", """
+WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier), b AS (SELECT p_name, row_number() OVER (ORDER BY p_partkey) AS i FROM part)
+SELECT s_suppkey, p_name FROM a LEFT JOIN b USING (i)""")
+def merge_by_order(spark, d):
+    return table.merge_by_order(read_table(spark, d, "supplier"), read_table(spark, d, "part"), "s_suppkey", "p_partkey").select("s_suppkey", "p_name")
+
+
+@register("select_undefined", "SELECT e.event_id, CASE WHEN value > 50 THEN NULL ELSE value END IS NULL AS selected FROM events e")
+def select_undefined(spark, d):
+    e = read_table(spark, d, "events").select("event_id", F.when(~F.coalesce(F.col("value") > 50, F.lit(False)), F.col("value")).alias("v"))
+    return table.select_undefined(e, "v").select("event_id", "selected")
+
+
+@register("select_random")
+def select_random(spark, d):
+    return table.select_random(read_table(spark, d, "part"), "p_partkey", 50).select("p_partkey", "selected")
+
+
+@register("points_from_table", "SELECT c_custkey, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL")
+def points_from_table(spark, d):
+    return table.points_from_table(read_table(spark, d, "customer"), "c_acctbal", "c_nationkey").select("c_custkey", "x", "y")
+
+
+@register("parse_dates", "SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 2 THEN strftime(o_orderdate, '%H%M%S') WHEN 1 THEN strftime(o_orderdate, '%Y%m%d%H%M%S') ELSE strftime(o_orderdate, '%Y%m%d000000') END AS BIGINT) AS t FROM orders")
+def parse_dates(spark, d):
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.date_format("o_orderdate", "M/d/yyyy")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("o_orderdate", "HH:mm:ss"))
+    return calculators.parse_dates(read_table(spark, d, "orders").select("o_orderkey", text.alias("text")), "text", "t").select("o_orderkey", "t")
+
+
+@register("scatter_matrix", """
+WITH v AS (SELECT p_retailprice AS a, CAST(p_size AS DOUBLE) AS b FROM part)
+SELECT 'p_retailprice' AS x, 'p_size' AS y, count(*) AS n, round(regr_slope(b, a), 6) + 0 AS slope, round(regr_intercept(b, a), 6) + 0 AS intercept, round(regr_r2(b, a), 6) + 0 AS r2 FROM v
+UNION ALL SELECT 'p_size', 'p_retailprice', count(*), round(regr_slope(a, b), 6) + 0, round(regr_intercept(a, b), 6) + 0, round(regr_r2(a, b), 6) + 0 FROM v""")
+def scatter_matrix(spark, d):
+    return rounded(classify.scatter_matrix(read_table(spark, d, "part"), ["p_retailprice", "p_size"]), "slope", "intercept", "r2")
+
+
+@register("conditional_cells", """
+SELECT CAST((p_size >= 10)::INT + (p_size >= 30)::INT AS INTEGER) AS across, CAST((p_partkey % 7 >= 3)::INT AS INTEGER) AS down, count(*) AS n, round(avg(p_retailprice), 6) + 0 AS mean, round(stddev_samp(p_retailprice), 6) + 0 AS deviation FROM part GROUP BY 1, 2""")
+def conditional_cells(spark, d):
+    p = read_table(spark, d, "part").withColumn("m", F.col("p_partkey") % 7)
+    return rounded(classify.conditional(p, "p_retailprice", "p_size", "m", [10, 30], [3]), "mean", "deviation")
+
+
+@register("area_centroids", "SELECT CAST(i AS BIGINT) AS cell, 0.5 AS area, round(i % 8 + 1 / 3, 6) AS x, round(i // 8 + 1 / 3, 6) AS y FROM range(48) t(i)")
+def area_centroids(spark, d):
+    x, y = F.col("id") % 8, F.floor(F.col("id") / 8)
+    at = lambda dx, dy: F.struct((x + dx).cast("double").alias("x"), (y + dy).cast("double").alias("y"))
+    polys = spark.range(48).select(F.col("id").alias("cell"), F.array(F.array(at(0, 0), at(1, 0), at(0, 1))).alias("rings"))
+    return rounded(table.centroids(polys, "cell"), "x", "y")

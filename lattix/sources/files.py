@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 FORMATS = ("parquet", "csv", "json", "orc", "geojson", "jdbc")
 
 
-def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
-    """parquet, csv (header, inferred types), json, orc, jdbc, or geojson: one row a feature with its properties and rings / x, y."""
+def read(spark: SparkSession, kind: str, path: str, schema: str | None = None, **options) -> DataFrame:
+    """schema: the types of all columns, in place of inferred ones.  parquet, csv (header, inferred types), json, orc, jdbc, or geojson: one row a feature with its properties and rings / x, y."""
     if kind == "geojson":
         return read_geojson(spark, path)
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind}")
-    base = {"header": "true", "inferSchema": "true"} if kind == "csv" else {}
-    return spark.read.format(kind).options(**base, **options).load(path)
+    reader = spark.read.format(kind)
+    if kind == "csv":
+        reader = reader.option("header", "true").option("inferSchema", "false" if schema else "true")
+    if schema:
+        reader = reader.schema(schema)
+    return reader.options(**options).load(path)
+
+
+def write(df: DataFrame, kind: str, path: str, mode: str = "errorifexists", **options) -> None:
+    """parquet, csv (with header), json or orc."""
+    if kind not in ("parquet", "csv", "json", "orc"):
+        raise ValueError(f"unknown format {kind}")
+    base = {"header": "true"} if kind == "csv" else {}
+    df.write.format(kind).mode(mode).options(**base, **options).save(path)
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -26,8 +38,10 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     f = raw.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("__c"))
     ring = "array<array<array<double>>>"
     pt = F.from_json("__c", "array<double>")
-    rings = F.transform(F.from_json("__c", ring), lambda r: F.transform(r, lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))))
-    return f.withColumn("x", F.when(F.col("geom_type") == "Point", pt[0])).withColumn("y", F.when(F.col("geom_type") == "Point", pt[1])).withColumn("rings", F.when(F.col("geom_type") == "Polygon", rings)).drop("__c")
+    lines = lambda c: F.transform(c, lambda r: F.transform(r, lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))))
+    kind, one, two, three = F.col("geom_type"), F.from_json("__c", "array<array<double>>"), F.from_json("__c", ring), F.from_json("__c", f"array<{ring}>")
+    shape = F.when(kind.isin("Polygon", "MultiLineString"), lines(two)).when(kind == "MultiPolygon", lines(F.flatten(three))).when(kind.isin("LineString", "MultiPoint"), lines(F.array(one)))
+    return f.withColumn("x", F.when(F.col("geom_type") == "Point", pt[0])).withColumn("y", F.when(F.col("geom_type") == "Point", pt[1])).withColumn("rings", shape).drop("__c")
 
 
 def drop_trailing_empty(df: DataFrame, row: str) -> DataFrame:

@@ -270,3 +270,68 @@ def test_global_permutation(board, rook):
     assert abs(got["mean"] + 1 / 35) < 0.06 and got["z"] < -5 and again["mean"] == pytest.approx(got["mean"])
     flat = autocorr.permute_global(board, "id", "s", rook.where("src < 0"), 9).first()
     assert flat["statistic"] == 0
+
+
+def test_geojson_shapes(spark, tmp_path):
+    shapes = [("MultiPolygon", "[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]],[[5.1,5.1],[5.2,5.1],[5.2,5.2],[5.1,5.1]]]]"), ("LineString", "[[0,0],[2,1]]"), ("MultiLineString", "[[[0,0],[2,1]],[[3,3],[4,4],[5,5]]]"), ("MultiPoint", "[[1,2],[3,4]]")]
+    feats = ",".join(f'{{"type":"Feature","properties":{{"n":{i}}},"geometry":{{"type":"{t}","coordinates":{c}}}}}' for i, (t, c) in enumerate(shapes))
+    (tmp_path / "b.geojson").write_text(f'{{"type":"FeatureCollection","features":[{feats}]}}')
+    got = {r["n"]: r["rings"] for r in files.read(spark, "geojson", str(tmp_path / "b.geojson")).collect()}
+    assert [len(r) for r in got[0]] == [4, 4, 4] and got[0][1][0]["x"] == 5.0
+    assert [len(r) for r in got[1]] == [2] and [len(r) for r in got[2]] == [2, 3] and [len(r) for r in got[3]] == [2]
+
+
+def test_write_and_read_with_types(spark, tmp_path):
+    df = spark.createDataFrame([(1, "01"), (2, "2x")], "id long, code string")
+    files.write(df, "csv", str(tmp_path / "t"))
+    assert sorted(r["code"] for r in files.read(spark, "csv", str(tmp_path / "t"), schema="id long, code string").collect()) == ["01", "2x"]
+    with pytest.raises(ValueError):
+        files.write(df, "geojson", str(tmp_path / "u"))
+
+
+def test_dates(spark):
+    from lattix.operators import calculators
+
+    rows = ["2020-02-03", "2020-02-03 04:05:06", "2/3/49", "2/3/50", "12/31/1999 12:00:00 PM", "23:59", " 2020/01/02 ", "soon", "", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, t string")
+    got = [r["d"] for r in calculators.parse_dates(df, "t", "d").orderBy("i").collect()]
+    assert got == [20200203000000, 20200203040506, 20490203000000, 19500203000000, 19991231120000, 235900, 20200102000000, None, None, None]
+    assert not calculators.is_date_column(df, "t") and calculators.is_date_column(df.where("i < 7 or i > 7"), "t")
+
+
+def test_selections_and_order(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else float(i), "x" if i == 4 else str(i)) for i in range(10)], "id long, v double, w string")
+    a, b = (table.select_random(d, "id", 4).where("selected").select("id").orderBy("id").collect() for d in (df, df.repartition(5)))
+    assert len(a) == 4 and a == b
+    assert table.select_undefined(df, "v").where("selected").count() == 6 and table.clear(table.select_undefined(df, "v")).where("selected").count() == 0
+    assert table.points_from_table(df, "id", "w").count() == 9
+    with pytest.raises(ValueError):
+        table.merge_by_order(df, df.limit(3), "id", "id")
+    both = table.merge_by_order(df, df, "id", "id").collect()
+    assert len(both) == 10 and all(r["id"] == r["id_right"] for r in both)
+    counts = spark.createDataFrame([(1, 3), (2, None)], "id long, count long")
+    assert not table.double_counted(counts, df) and table.double_counted(counts, df.limit(2))
+
+
+def test_multivariate_neighbours_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    v = np.r_[rng.normal(size=(40, 4)), rng.normal(size=(1, 4)) + 50, rng.normal(size=(3, 4)).repeat(2, axis=0)]
+    obs = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)] + [(99, None, 1.0, 1.0, 1.0)], "id long, a double, b double, c double, d double")
+    for kind, p in (("euclidean", 2), ("manhattan", 1)):
+        d = (np.abs(v[:, None] - v[None]) ** p).sum(axis=2) ** (1 / p)
+        near = {(r["src"], r["dst"]) for r in weights.multivariate_pairs(obs, "id", list("abcd"), 1.5, kind).collect()}
+        assert near == {(i, j) for i in range(len(v)) for j in range(len(v)) if i != j and d[i, j] <= 1.5}
+        got = {(r["src"], r["rank"]): r["dst"] for r in weights.multivariate_knn(obs, "id", list("abcd"), 3, kind).collect()}
+        for i in range(len(v)):
+            order = sorted((j for j in range(len(v)) if j != i), key=lambda j: (d[i, j], j))[:3]
+            assert [d[i, got[i, r]] for r in (1, 2, 3)] == pytest.approx([d[i, j] for j in order])
+
+
+def test_centroid_of_a_square_with_a_hole(spark):
+    ring = lambda pts: [{"x": float(x), "y": float(y)} for x, y in pts]
+    outer, hole = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)]
+    rows = [(1, [ring(outer)]), (2, [ring(outer), ring(hole)]), (3, [ring([(1, 1), (2, 2)])]), (4, [])]
+    df = spark.createDataFrame(rows, "id long, rings array<array<struct<x:double,y:double>>>")
+    got = {r["id"]: (r["area"], r["x"], r["y"]) for r in table.centroids(df, "id").collect()}
+    assert got[1] == (16.0, 2.0, 2.0) and got[2] == (12.0, pytest.approx(28 / 12), pytest.approx(28 / 12))
+    assert got[3][1:] == (None, None) and got[4][1:] == (None, None)
