@@ -3,16 +3,19 @@
 Of all suffixes (at word starts) only those at minimiser places are retained: the least
 8-gram hash of every span of SPAN places.  Any passage of `least` (50) words holds such a place
 at the same offset wherever it occurs, with `PREFIX` words after it.  Retained
-suffixes are not sorted: they are grouped by the hash of their prefix, which leaves
-those whose prefix another document shares.  Matches are then extended left and right:
+suffixes are sorted, and neighbours in the order are compared: a suffix stays if one in its run of equal prefixes is another
+document's.  (The order is that of hashes: first of the prefix as a whole, then of the context, then id and
+place; any order that puts suffixes of one beginning side by side finds the same neighbours.)  Matches are then extended left and right:
 each place answers for the windows of `least` words that chose it, and (a) places whose whole context agrees
 between documents are repeats outright, (b) of the others, one representative a context is extended
 window by window.  The result is exact: a word is repeated if some window of `least` words around it occurs
 in another document.
 
-Scale: prefixes, contexts and windows are only ever counted by key (map-side combined, hot keys are one
-row each), never gathered; a text is hashed a second time only if it has a context of kind (b).
-Retained suffixes are joined with their prefixes and contexts by common.join_dealt: rows of a hot key are not shuffled.
+Scale: the sort is by range over all of the order's columns, so a hot prefix is spread over as many partitions as its rows
+need; a task holds one batch and the open run of one document.  Runs cut by a partition's ends stay (what is not repeated among
+them falls out later).  Contexts and windows are only counted by key (map-side combined, hot keys are one row
+each), never gathered; a text is hashed a second time only if it has a context of kind (b).
+Retained suffixes are joined with their contexts by common.join_dealt: rows of a hot key are not shuffled.
 
 Defined results: words are separated by ASCII white space, A-Z folded; documents of fewer than `least` words and
 null texts repeat nothing; repeats within one document (or within rows of equal id) do not count; null ids take no part.
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +81,29 @@ def anchors(roll: Rolling) -> tuple[np.ndarray, ...]:
     return p, first, last, roll.run(p, p + PREFIX).view(np.int64), context.view(np.int64)
 
 
+def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of suffixes (doc, ..., hp at place 4, ...) in order of hp, those whose run of equal hp has several documents or an end of the partition."""
+    held: list[pa.RecordBatch] = []  # the open run, as long as it is one document's
+    open_hp = None  # prefix of an open run that stays
+
+    for b in batches:
+        if not len(b):
+            continue
+        first = not held and open_hp is None
+        t = pa.Table.from_batches([*held, b]).combine_chunks()
+        hp, doc = t.column(4).to_numpy(), t.column(0).combine_chunks()
+        other = np.asarray(pc.not_equal(doc[1:], doc[:-1]).to_numpy(zero_copy_only=False), bool)
+        fresh = np.r_[True, hp[1:] != hp[:-1]]
+        starts = np.flatnonzero(fresh)
+        stays = np.maximum.reduceat(np.r_[False, other & ~fresh[1:]], starts)
+        stays[0] |= first or (open_hp is not None and hp[0] == open_hp)
+        many = np.diff(np.r_[starts, len(hp)])
+        out = np.repeat(stays, many)
+        open_hp, held = (hp[-1], []) if stays[-1] else (None, t.slice(starts[-1]).to_batches())
+        yield from t.filter(pa.array(out)).to_batches()
+    yield from held
+
+
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_repeated, first_doc, spans): spans are merged word ranges, array<struct<start,end>>;
     first_doc is the least id among the documents that share a passage (itself included)."""
@@ -97,8 +124,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), *flat], names=["doc", "p", "first", "last", "hp", "hc", "n"])
 
     kept = stored(rows.mapInArrow(retain, f"doc {kind}, p bigint, first bigint, last bigint, hp bigint, hc bigint, n bigint"))
-    shared = stored(kept.groupBy("hp").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("many")).where("a <> b").select("hp", "many"))
-    kept = stored(join_dealt(kept, shared, ["hp"], "left_semi", "many", row_count(kept)))
+    order = ["hp", "hc", "doc", "p"]
+    kept = stored(kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(alike, kept.schema))
     classes = stored(kept.groupBy("hp", "hc").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "p", "first", "last")).alias("rep"), F.count("*").alias("many")))
     # (b): contexts of a prefix that has several; each is extended once, by its representative
     several = classes.groupBy("hp").agg(F.min("hc").alias("a"), F.max("hc").alias("b")).where("a <> b").select("hp")

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -182,6 +183,21 @@ def test_repeated_passages(docs):
     assert got == want and want
 
 
+def test_neighbours_in_suffix_order():
+    """What alike() leaves, whatever the batches: runs of several documents, and those at the ends."""
+    rng = random.Random(3)
+    for _ in range(200):
+        rows = sorted((rng.randrange(8), rng.randrange(3), rng.randrange(4), k) for k in range(rng.randrange(1, 40)))
+        cols = {"doc": [r[2] for r in rows], "p": [r[3] for r in rows], "first": [0] * len(rows), "last": [0] * len(rows), "hp": [r[0] for r in rows]}
+        t, size = pa.table(cols), rng.randrange(1, 12)
+        got = [p for b in suffix.alike(iter(t.to_batches(max_chunksize=size))) for p in b.column("p").to_pylist()]
+        docs = {h: {r[2] for r in rows if r[0] == h} for h, *_ in rows}
+        want = [r[3] for r in rows if len(docs[r[0]]) > 1 or r[0] == rows[0][0] or r[0] == rows[-1][0]]
+        sure = [r[3] for r in rows if len(docs[r[0]]) > 1]
+        assert set(sure) <= set(got) <= set(want) and got == [p for p in want if p in set(got)]
+    assert list(suffix.alike(iter([]))) == []
+
+
 def test_repeated_odd(odd, none):
     assert suffix.repeated(none).count() == 0
     assert suffix.repeated(odd).count() == 0
