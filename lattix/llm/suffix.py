@@ -128,8 +128,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     kept = stored(kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(alike, kept.schema))
     classes = stored(kept.groupBy("hp", "hc").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "p", "first", "last")).alias("rep"), F.count("*").alias("many")))
     # (b): contexts of a prefix that has several; each is extended once, by its representative
-    several = classes.groupBy("hp").agg(F.min("hc").alias("a"), F.max("hc").alias("b")).where("a <> b").select("hp")
-    odd = classes.join(several, "hp", "left_semi").select("hp", "hc", "lo", "hi", "rep.*")
+    several = stored(classes.groupBy("hp").agg(F.count("*").alias("many")).where("many > 1"))
+    odd = join_dealt(classes.drop("many"), several, ["hp"], "left_semi", "many", row_count(classes)).select("hp", "hc", "lo", "hi", "rep.*")
     wanted = odd.groupBy("doc").agg(F.collect_list(F.struct("hp", "hc", "lo", "hi", "p", "first", "last")).alias("ask"))
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
