@@ -180,3 +180,39 @@ def test_circles_do_not_overlap(spark):
     df = spark.createDataFrame([(i, float(i % 3), float(i // 3), 1.0 + i) for i in range(9)], "id long, x double, y double, s double")
     c = geometry.circle_cartogram(df, "id", "s").collect()
     assert all(np.hypot(a["x"] - b["x"], a["y"] - b["y"]) > 0.9 * (a["radius"] + b["radius"]) for a, b in combinations(c, 2))
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """5,002 points, more than the former bounds of 4,000 and 5,000, in two groups far apart."""
+    i = F.col("id")
+    return spark.range(5002).select("id", ((i % 2) * 100 + (i / 2).cast("long") % 50 * 0.01).alias("a"), ((i / 100).cast("long") * 0.01).alias("b"))
+
+
+def apart(found) -> bool:
+    return len(found) == 5002 and {found[i] for i in range(0, 5002, 2)} == {1} and {found[i] for i in range(1, 5002, 2)} == {2}
+
+
+def test_many_rows_scaled(many):
+    from lattix.operators.cluster import classic_mds
+
+    d = many.orderBy("id").toPandas().to_numpy()
+    p = classic_mds(many, "id", ["a", "b"]).orderBy("id").toPandas().to_numpy()
+    assert len(p) == 5002 and np.abs(density.distances(p[::50, 1:]) - density.distances(d[::50, 1:])).max() < 1e-6
+    far = np.abs(p[:, 1:])
+    assert all(p[int((far[:, j] >= far[:, j].max() * (1 - 1e-12)).argmax()), j + 1] > 0 for j in range(2))
+
+
+def test_many_rows_in_pairs(many):
+    assert density.distance_matrix(many, "id", ["a", "b"]).count() == 5002 * 5001
+
+
+@pytest.mark.parametrize("method", ["pam", "clarans"])
+def test_many_rows_around_medoids(many, method):
+    assert apart(labels(density.kmedoids(many, "id", ["a", "b"], 2, method)))
+
+
+@pytest.mark.parametrize("select", ["eom", "leaf"])
+def test_many_rows_in_a_density_tree(many, select):
+    found = labels(density.hdbscan(many, "id", ["a", "b"], least=2500, min_points=3, select=select))
+    assert apart(found)
