@@ -216,3 +216,38 @@ def test_many_rows_around_medoids(many, method):
 def test_many_rows_in_a_density_tree(many, select):
     found = labels(density.hdbscan(many, "id", ["a", "b"], least=2500, min_points=3, select=select))
     assert apart(found)
+
+
+@pytest.fixture(scope="module")
+def strip(spark):
+    """5,002 points on a strip of two rows, at two points a place; values differ between its halves."""
+    i = F.col("id")
+    place = (i / 2).cast("long")
+    return spark.range(5002).select("id", (place % 1251).cast("double").alias("x"), (place / 1251).cast("long").cast("double").alias("y"), (F.when(place % 1251 < 600, 0.0).otherwise(50.0) + i % 3 * 0.1).alias("v"))
+
+
+def strip_halves(found) -> bool:
+    left = {found[i] for i in found if i // 2 % 1251 < 600}
+    right = {found[i] for i in found if i // 2 % 1251 >= 600}
+    return len(found) == 5002 and len(left) == len(right) == 1 and left != right
+
+
+@pytest.mark.parametrize("method", ["average", "complete", "single", "ward"])
+def test_many_rows_in_redcap(strip, method):
+    assert strip_halves(labels(regions.redcap(strip, "id", ["v"], 2, geometry.voronoi_weights(strip, "id"), method)))
+
+
+def test_many_rows_in_contiguous_clusters(strip):
+    from lattix.operators.cluster import hierarchical
+
+    assert strip_halves(labels(hierarchical(strip, "id", ["v"], 2, "average", geometry.voronoi_weights(strip, "id"))))
+
+
+def test_linkage_keeps_to_neighbours_like_the_full_matrix():
+    from lattix.operators.cluster import Near, linkage
+
+    x = np.random.default_rng(6).normal(size=(40, 2))
+    a, b = np.triu_indices(40, 1)
+    for method in ("single", "complete", "average", "ward"):
+        full, lists = linkage(x, method), linkage(x, method, Near(40, a, b))
+        assert [m[:2] for m in full] == [m[:2] for m in lists] and np.allclose([m[2] for m in full], [m[2] for m in lists])
