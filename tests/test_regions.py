@@ -251,3 +251,14 @@ def test_linkage_keeps_to_neighbours_like_the_full_matrix():
     for method in ("single", "complete", "average", "ward"):
         full, lists = linkage(x, method), linkage(x, method, Near(40, a, b))
         assert [m[:2] for m in full] == [m[:2] for m in lists] and np.allclose([m[2] for m in full], [m[2] for m in lists])
+
+
+@pytest.mark.parametrize("method", ["greedy", "tabu", "annealing"])
+def test_many_rows_in_zones(strip, method):
+    w = geometry.voronoi_weights(strip, "id").cache()
+    for found in (labels(regions.azp(strip, "id", ["v"], 2, w, method, tries=1)), labels(regions.max_p(strip, "id", ["v"], w, None, 1500.0, method, tries=1))):
+        assert len(found) == 5002 and set(found.values()) - {1, 2, 3} == set() and len(set(found.values())) >= 2
+        near = {}
+        for r in w.collect():
+            near.setdefault(r["src"], []).append(r["dst"])
+        assert all(len(regions.pieces([i for i in found if found[i] == c], near)) == 1 for c in set(found.values()))
