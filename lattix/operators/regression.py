@@ -1,7 +1,7 @@
 """Least squares with spatial diagnostics, and maximum-likelihood spatial lag and error models.
 
 Cross products are one-pass sums on the executors; the driver solves k x k systems.  The maximum-likelihood
-models need eigenvalues of the weights matrix and take at most MOST observations.
+models take the eigenvalues of the weights matrix by connected parts; memory follows the edges and the square of the largest part.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from lattix.functions.scalars import scalars
 from lattix.functions.special import chi2_sf, f_sf, normal_cdf, t_two_sided
 
-MOST = 5000
-
 
 def cross(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Sums of products of all pairs of columns."""
@@ -137,18 +135,34 @@ def _spatial(r: DataFrame, names: list[str], w: DataFrame, inv: np.ndarray, beta
     return out | {f"{v}_p": chi2_sf(out[v], 2 if v == "lm_sarma" else 1) for v in ("lm_lag", "lm_error", "robust_lm_lag", "robust_lm_error", "lm_sarma") if out[v] == out[v]}
 
 
-def _dense(df: DataFrame, key: str, y: str, xs: list[str], w: DataFrame):
-    rows = sorted(_design(df, key, y, xs).limit(MOST + 1).collect())
-    if len(rows) > MOST:
-        raise ValueError(f"maximum-likelihood models take at most {MOST} observations")
-    place = {r[0]: i for i, r in enumerate(rows)}
-    m = np.zeros((len(rows), len(rows)))
-    for e in w.where("src <> dst").select("src", "dst", "weight").collect():
-        if e[0] in place and e[1] in place:
-            m[place[e[0]], place[e[1]]] = e[2]
-    sums = m.sum(axis=1, keepdims=True)
-    m = np.divide(m, sums, out=np.zeros_like(m), where=sums != 0)
-    return np.array([r[1] for r in rows]), np.array([list(r[2:]) for r in rows]), m
+def _blocks(df: DataFrame, key: str, y: str, xs: list[str], w: DataFrame):
+    """(y, design, blocks): row-standardized weights as (members, matrix) of every connected part; places without neighbours are in none."""
+    import pandas as pd
+
+    rows = sorted(_design(df, key, y, xs).collect())
+    last = {r[0]: i for i, r in enumerate(rows)}
+    names, place = pd.Index(list(last)), np.array(list(last.values()), int)
+    e = w.where("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("weight")).toPandas()
+    a, b = (names.get_indexer(e[c]) for c in ("src", "dst"))
+    known = (a >= 0) & (b >= 0)
+    a, b, weight = place[a[known]], place[b[known]], e["weight"].to_numpy()[known]
+    part = np.arange(len(rows))
+    while True:
+        before = part.copy()
+        np.minimum.at(part, a, part[b])
+        np.minimum.at(part, b, part[a])
+        part = part[part]
+        if (part == before).all():
+            break
+    order = np.argsort(part[a], kind="stable")
+    blocks = []
+    for own in np.split(order, np.flatnonzero(np.diff(part[a][order])) + 1) if len(order) else []:
+        members = np.unique(np.r_[a[own], b[own]])
+        m = np.zeros((len(members), len(members)))
+        m[np.searchsorted(members, a[own]), np.searchsorted(members, b[own])] = weight[own]
+        sums = m.sum(axis=1, keepdims=True)
+        blocks.append((members, np.divide(m, sums, out=np.zeros_like(m), where=sums != 0)))
+    return np.array([r[1] for r in rows]), np.array([list(r[2:]) for r in rows]), blocks
 
 
 def _golden(f, lo: float, hi: float, tol: float = 1e-10) -> float:
@@ -169,11 +183,18 @@ def _golden(f, lo: float, hi: float, tol: float = 1e-10) -> float:
 
 def ml_model(df: DataFrame, key: str, y: str, xs: list[str], w: DataFrame, kind: str = "lag") -> dict:
     """Concentrated maximum likelihood.  kind "lag": y = rho W y + X b + e; "error": u = lambda W u + e."""
-    yv, x, m = _dense(df, key, y, xs, w)
+    yv, x, blocks = _blocks(df, key, y, xs, w)
     n = len(yv)
-    eig = np.linalg.eigvals(m)
+    eig = np.concatenate([np.linalg.eigvals(m) for _, m in blocks] or [np.zeros(0)])
     logdet = lambda r: float(np.log(np.abs(1 - r * eig)).sum())
-    wy, wx = m @ yv, m @ x
+
+    def times(matrices: list[np.ndarray], v: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(v)
+        for (members, _), m in zip(blocks, matrices):
+            out[members] = m @ v[members]
+        return out
+
+    wy, wx = (times([m for _, m in blocks], v) for v in (yv, x))
 
     def fit(r: float):
         a, b = (yv - r * wy, x) if kind == "lag" else (yv - r * wy, x - r * wx)
@@ -185,11 +206,10 @@ def ml_model(df: DataFrame, key: str, y: str, xs: list[str], w: DataFrame, kind:
     r = _golden(lik, -0.999, 0.999)
     beta, s2 = fit(r)
     k = x.shape[1]
-    inv = np.linalg.inv(np.eye(n) - r * m)
-    g = m @ inv
-    t1, t2 = np.trace(g), np.trace(g @ g) + (g * g).sum()
+    gs = [m @ np.linalg.inv(np.eye(len(m)) - r * m) for _, m in blocks]
+    t1, t2 = sum(np.trace(g) for g in gs), sum((g * g.T).sum() + (g * g).sum() for g in gs)
     if kind == "lag":
-        gx = g @ x @ beta
+        gx = times(gs, x @ beta)
         info = np.zeros((k + 2, k + 2))
         info[0, 0] = t2 + gx @ gx / s2
         info[0, 1 : k + 1] = info[1 : k + 1, 0] = x.T @ gx / s2
