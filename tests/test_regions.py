@@ -262,3 +262,13 @@ def test_many_rows_in_zones(strip, method):
         for r in w.collect():
             near.setdefault(r["src"], []).append(r["dst"])
         assert all(len(regions.pieces([i for i in found if found[i] == c], near)) == 1 for c in set(found.values()))
+
+
+def test_circles_that_overlap_are_all_found(spark):
+    rng = np.random.default_rng(9)
+    p, r = rng.random((300, 2)), rng.random(300) ** 6 * 0.2
+    want = {(i, j) for i, j in combinations(range(300), 2) if np.hypot(*(p[i] - p[j])) < r[i] + r[j]}
+    got = [tuple(sorted(e)) for i, j in geometry._overlaps(p, r) for e in zip(i.tolist(), j.tolist())]
+    assert want <= set(got) and len(got) == len(set(got))
+    many = spark.range(4100).select("id", (F.col("id") % 64).cast("double").alias("x"), (F.col("id") / 64).cast("long").cast("double").alias("y"), F.lit(1.0).alias("s"))
+    assert geometry.circle_cartogram(many, "id", "s", rounds=5).count() == 4100
