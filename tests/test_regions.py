@@ -272,3 +272,50 @@ def test_circles_that_overlap_are_all_found(spark):
     assert want <= set(got) and len(got) == len(set(got))
     many = spark.range(4100).select("id", (F.col("id") % 64).cast("double").alias("x"), (F.col("id") / 64).cast("long").cast("double").alias("y"), F.lit(1.0).alias("s"))
     assert geometry.circle_cartogram(many, "id", "s", rounds=5).count() == 4100
+
+
+@pytest.fixture(scope="module")
+def stacked(spark):
+    """Weights of 240 points at 60 places, four at each, and their ids; values follow the place."""
+    p = spark.range(240).select("id", (F.col("id") % 60 % 10).cast("double").alias("x"), (F.col("id") % 60 / 10).cast("long").cast("double").alias("y"), (F.col("id") % 60 * 37 % 60).cast("double").alias("v"))
+    return p, geometry.voronoi_weights(p, "id").cache(), list(range(240))
+
+
+def test_points_at_one_place_are_held_as_one(stacked):
+    from lattix.operators.cluster import neighbours_of
+
+    _, w, ids = stacked
+    near, want = neighbours_of(w, ids), {i: [] for i in ids}
+    for r in w.collect():
+        want[r["src"]].append(r["dst"])
+    assert near.kinds == 60 and len(near.to) < 60 * 9
+    assert [near[i] for i in ids] == [sorted(want[i]) for i in ids]
+    lone = neighbours_of(w.where("src <> 7 or dst <> 67"), ids)
+    assert lone.kinds == 240 and [lone[i] for i in ids] == [sorted(want[i]) for i in ids]
+
+
+@pytest.mark.parametrize("method", ["average", "complete", "single", "ward"])
+def test_like_rows_merge_first(method):
+    from lattix.operators.cluster import Near, _contiguous_linkage, cut_tree, linkage
+
+    rng = np.random.default_rng(3)
+    few, group = rng.normal(size=(30, 2)), np.r_[np.arange(30), rng.integers(0, 30, 60)]
+    a, b = np.array([(i, j) for i in range(90) for j in range(i) if abs(group[i] - group[j]) % 28 <= 1 or (group[i] * group[j]) % 7 == 3]).T
+    x = few[group]
+    want = _contiguous_linkage(x, method, Near(90, a, b))
+    got = linkage(x, method, Near(90, group[a], group[b], np.array([int(np.flatnonzero(group == g)[0]) for g in group])))
+    assert len(got) == len(want) and np.allclose([m[2] for m in got], [m[2] for m in want])
+    assert all((cut_tree(90, got, k) == cut_tree(90, want, k)).all() for k in range(1, 30))
+
+
+@pytest.mark.parametrize("method", ["average", "complete", "single", "ward"])
+def test_redcap_of_points_at_one_place(stacked, method):
+    from lattix.operators.cluster import Near, _contiguous_linkage, partition_tree, standard_matrix
+
+    p, w, ids = stacked
+    a, b = np.array([(r["src"], r["dst"]) for r in w.collect()]).T
+    x, near = standard_matrix(p, "id", ["v"])[1], Near(240, a, b)
+    got = labels(regions.redcap(p, "id", ["v"], 4, w, method))
+    assert len({got[i] for i in ids}) == 4 and all(got[i] == got[i % 60] for i in ids)
+    if method != "ward":
+        assert [got[i] for i in ids] == partition_tree(x, regions._shortest_edges(x, near, _contiguous_linkage(x, method, near)), 4).tolist()
