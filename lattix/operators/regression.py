@@ -1,7 +1,7 @@
 """Least squares with spatial diagnostics, and maximum-likelihood spatial lag and error models.
 
 Cross products are one-pass sums on the executors; the driver solves k x k systems.  The maximum-likelihood
-models take the eigenvalues of the weights matrix by connected parts; memory follows the edges and the square of the largest part.
+models take the eigenvalues of the weights matrix by connected parts, places that share all neighbours as one; memory follows the edges and the square of the largest part so reduced.
 """
 
 from __future__ import annotations
@@ -135,18 +135,34 @@ def _spatial(r: DataFrame, names: list[str], w: DataFrame, inv: np.ndarray, beta
     return out | {f"{v}_p": chi2_sf(out[v], 2 if v == "lm_sarma" else 1) for v in ("lm_lag", "lm_error", "robust_lm_lag", "robust_lm_error", "lm_sarma") if out[v] == out[v]}
 
 
+class Part:
+    """Row-standardized weights of a connected part.  Members of one kind share neighbours and weight, so the weights act on the kinds' scaled means by `matrix` and on what differs within a kind by `apart`."""
+
+    def __init__(self, members: np.ndarray, kind: np.ndarray, matrix: np.ndarray, apart: np.ndarray):
+        self.members, self.kind, self.matrix, self.apart = members, kind, matrix, apart
+        self.size = np.bincount(kind)
+
+    def times(self, matrix: np.ndarray, apart: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Acts on values of the members by a matrix on the kinds and factors within them."""
+        if len(self.size) == len(self.members):
+            return matrix @ v
+        v2 = v.reshape(len(v), -1)
+        mean = np.stack([np.bincount(self.kind, c) for c in v2.T], axis=1) / self.size[:, None]
+        root = np.sqrt(self.size)[:, None]
+        return ((matrix @ (root * mean) / root)[self.kind] + (v2 - mean[self.kind]) * apart[self.kind, None]).reshape(v.shape)
+
+
 def _blocks(df: DataFrame, key: str, y: str, xs: list[str], w: DataFrame):
-    """(y, design, blocks): row-standardized weights as (members, matrix) of every connected part; places without neighbours are in none."""
-    import pandas as pd
+    """(y, design, parts): row-standardized weights of every connected part; places without neighbours are in none."""
+    from lattix.operators.weights import edges_of_kinds, twins
 
     rows = sorted(_design(df, key, y, xs).collect())
-    last = {r[0]: i for i, r in enumerate(rows)}
-    names, place = pd.Index(list(last)), np.array(list(last.values()), int)
-    e = w.where("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("weight")).toPandas()
-    a, b = (names.get_indexer(e[c]) for c in ("src", "dst"))
-    known = (a >= 0) & (b >= 0)
-    a, b, weight = place[a[known]], place[b[known]], e["weight"].to_numpy()[known]
-    part = np.arange(len(rows))
+    ids = [r[0] for r in rows]
+    first, kind = np.unique(twins(w, ids), return_inverse=True)
+    kind = kind.reshape(-1)
+    a, b, weight = edges_of_kinds(w, ids, first[kind])
+    a, b, size = kind[a], kind[b], np.bincount(kind, minlength=len(first))
+    part = np.arange(len(first))
     while True:
         before = part.copy()
         np.minimum.at(part, a, part[b])
@@ -154,14 +170,21 @@ def _blocks(df: DataFrame, key: str, y: str, xs: list[str], w: DataFrame):
         part = part[part]
         if (part == before).all():
             break
-    order = np.argsort(part[a], kind="stable")
+    order, by_part = np.argsort(part[a], kind="stable"), np.argsort(part[kind], kind="stable")
+    at = np.searchsorted(part[kind][by_part], np.arange(len(first) + 1))
     blocks = []
     for own in np.split(order, np.flatnonzero(np.diff(part[a][order])) + 1) if len(order) else []:
-        members = np.unique(np.r_[a[own], b[own]])
-        m = np.zeros((len(members), len(members)))
-        m[np.searchsorted(members, a[own]), np.searchsorted(members, b[own])] = weight[own]
-        sums = m.sum(axis=1, keepdims=True)
-        blocks.append((members, np.divide(m, sums, out=np.zeros_like(m), where=sums != 0)))
+        kinds = np.unique(np.r_[a[own], b[own]])
+        p = part[kinds[0]]
+        members = np.sort(by_part[at[p] : at[p + 1]])
+        m, many = np.zeros((len(kinds), len(kinds))), size[kinds]
+        m[np.searchsorted(kinds, a[own]), np.searchsorted(kinds, b[own])] = weight[own]
+        inner = np.diag(m).copy()
+        sums = m @ many - inner
+        over = np.divide(1.0, sums, out=np.zeros(len(m)), where=sums != 0)
+        apart = -inner * over
+        m = m * over[:, None] * np.sqrt(np.outer(many, many)) + np.diag(apart)
+        blocks.append(Part(members, np.searchsorted(kinds, kind[members]), m, apart))
     return np.array([r[1] for r in rows]), np.array([list(r[2:]) for r in rows]), blocks
 
 
@@ -185,16 +208,16 @@ def ml_model(df: DataFrame, key: str, y: str, xs: list[str], w: DataFrame, kind:
     """Concentrated maximum likelihood.  kind "lag": y = rho W y + X b + e; "error": u = lambda W u + e."""
     yv, x, blocks = _blocks(df, key, y, xs, w)
     n = len(yv)
-    eig = np.concatenate([np.linalg.eigvals(m) for _, m in blocks] or [np.zeros(0)])
+    eig = np.concatenate([v for p in blocks for v in (np.linalg.eigvals(p.matrix), np.repeat(p.apart, p.size - 1))] or [np.zeros(0)])
     logdet = lambda r: float(np.log(np.abs(1 - r * eig)).sum())
 
-    def times(matrices: list[np.ndarray], v: np.ndarray) -> np.ndarray:
+    def times(factors: list[tuple[np.ndarray, np.ndarray]], v: np.ndarray) -> np.ndarray:
         out = np.zeros_like(v)
-        for (members, _), m in zip(blocks, matrices):
-            out[members] = m @ v[members]
+        for p, (m, apart) in zip(blocks, factors):
+            out[p.members] = p.times(m, apart, v[p.members])
         return out
 
-    wy, wx = (times([m for _, m in blocks], v) for v in (yv, x))
+    wy, wx = (times([(p.matrix, p.apart) for p in blocks], v) for v in (yv, x))
 
     def fit(r: float):
         a, b = (yv - r * wy, x) if kind == "lag" else (yv - r * wy, x - r * wx)
@@ -206,8 +229,9 @@ def ml_model(df: DataFrame, key: str, y: str, xs: list[str], w: DataFrame, kind:
     r = _golden(lik, -0.999, 0.999)
     beta, s2 = fit(r)
     k = x.shape[1]
-    gs = [m @ np.linalg.inv(np.eye(len(m)) - r * m) for _, m in blocks]
-    t1, t2 = sum(np.trace(g) for g in gs), sum((g * g.T).sum() + (g * g).sum() for g in gs)
+    gs = [(p.matrix @ np.linalg.inv(np.eye(len(p.matrix)) - r * p.matrix), p.apart / (1 - r * p.apart)) for p in blocks]
+    t1 = sum(np.trace(g) + (p.size - 1) @ h for p, (g, h) in zip(blocks, gs))
+    t2 = sum((g * g.T).sum() + (g * g).sum() + 2 * ((p.size - 1) @ h**2) for p, (g, h) in zip(blocks, gs))
     if kind == "lag":
         gx = times(gs, x @ beta)
         info = np.zeros((k + 2, k + 2))

@@ -355,3 +355,17 @@ def test_likelihood_models_of_many_rows_by_parts(spark, kind):
     got = regression.ml_model(df, "id", "y", ["x"], weights.block_weights(df, "id", "block"), kind)
     assert got["n"] == 5100 and got["lr_test"] > 0
     assert kind == "lag" or abs(got["beta"][1] - 2) < 0.05
+
+
+@pytest.mark.parametrize("kind", ["lag", "error"])
+def test_likelihood_models_hold_like_places_as_one(spark, kind):
+    """Rows scaled apart are standardized to the same weights, but no two places are alike in them."""
+    from lattix.operators import geometry
+
+    df = spark.range(124).select("id", (F.col("id") % 30 % 6).cast("double").alias("x"), (F.col("id") % 30 / 6).cast("long").cast("double").alias("y"), (F.col("id") * 7 % 13).cast("double").alias("v"))
+    df = df.withColumn("z", 1 + 2 * F.col("v") + F.col("id") * 5 % 17 + F.col("id") % 30)
+    w = geometry.voronoi_weights(df, "id").where("src < 120 and dst < 120").unionByName(spark.createDataFrame([(120, 121, 1.0), (121, 120, 1.0), (122, 0, 1.0), (0, 122, 1.0)], "src long, dst long, weight double"))
+    few, whole = (regression._blocks(df, "id", "z", ["v"], e)[2] for e in (w, w.withColumn("weight", F.col("weight") * (1 + F.col("src") % 3))))
+    assert sorted(len(p.matrix) for p in few) == [1, 32] and sorted(len(p.matrix) for p in whole) == [2, 121]
+    got, want = (regression.ml_model(df, "id", "z", ["v"], e, kind) for e in (w, w.withColumn("weight", F.col("weight") * (1 + F.col("src") % 3))))
+    assert all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-8) for k in want)
