@@ -319,3 +319,27 @@ def test_redcap_of_points_at_one_place(stacked, method):
     assert len({got[i] for i in ids}) == 4 and all(got[i] == got[i % 60] for i in ids)
     if method != "ward":
         assert [got[i] for i in ids] == partition_tree(x, regions._shortest_edges(x, near, _contiguous_linkage(x, method, near)), 4).tolist()
+
+
+@pytest.mark.parametrize("method", ["greedy", "tabu", "annealing"])
+def test_zones_of_kinds_move_like_those_of_places(stacked, method):
+    from lattix.operators.cluster import Near, neighbours_of
+
+    _, w, ids = stacked
+    a, b = np.array([(r["src"], r["dst"]) for r in w.collect()]).T
+    x, kinds, places = np.random.default_rng(4).normal(size=(240, 2)), neighbours_of(w, ids), Near(240, a, b)
+    label = regions._start_azp(kinds, 5, np.random.default_rng(5))
+    assert set(label) == {1, 2, 3, 4, 5} and all(len(regions.pieces(np.flatnonzero(label == c).tolist(), places)) == 1 for c in range(1, 6))
+    one, two = (regions.Zones(x, near, label, np.ones(240), 3.0) for near in (kinds, places))
+    assert len(one.around) == 60 and list(one.moves()) == list(two.moves()) != []
+    got, want = (regions.improve(z, method, np.random.default_rng(6)) for z in (one, two))
+    assert got[0] == want[0] and (got[1] == want[1]).all() and (got[1] != label).any()
+    assert all(len(regions.pieces(np.flatnonzero(got[1] == c).tolist(), places)) == 1 for c in set(got[1]))
+
+
+def test_zones_grow_within_a_kind():
+    from lattix.operators.cluster import Near
+
+    alone = Near(5, np.zeros(0), np.zeros(0), np.array([0, 0, 2, 2, 2]))
+    label = regions._start_azp(alone, 2, np.random.default_rng(1))
+    assert label[0] == label[1] != label[2] == label[3] == label[4]
